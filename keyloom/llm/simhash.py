@@ -157,16 +157,33 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("u", F.col("v").alias("root"))
 
 
+def _roots(prints: DataFrame, radius: int) -> DataFrame:
+    """(fp, least_id, root) of distinct prints: the smallest id with the print, and its component's smallest print."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    roots = components(close_edges(distinct.select("fp"), distinct.count(), radius))
+    named = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    return materialize(named, "named")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, **cols: str) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per document."""
     prints = materialize(fingerprints(docs, shingle, **cols), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(close_edges(distinct.select("fp"), distinct.count(), radius))
-    named = (
-        distinct.join(roots, distinct["fp"] == roots["u"], "left")
-        .select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    )
-    named = materialize(named, "named")
+    named = _roots(prints, radius)
     classes = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_print = named.join(classes, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document a component: that with the smallest id, null ids last.
+
+    Rows are known by a hash of id and text; of rows equal in both, one stays.
+    """
+    key = next(f"key{i}" for i in range(len(docs.columns) + 1) if f"key{i}" not in docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    small = keyed.select(F.struct(F.col("doc_id").alias("id"), F.col(key).alias("key")).alias("doc_id"), "text")
+    prints = materialize(fingerprints(small, shingle).select("doc_id.id", "doc_id.key", "fp"), "prints")
+    named = _roots(prints.select(F.col("id").alias("doc_id"), "fp"), radius)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
+    kept = prints.join(named, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias(key))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
