@@ -2,14 +2,461 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from keyloom.functions import formatting, slots
+from keyloom.operators import aggregates, prefixes
+from keyloom.plans.projection import BATCH, BIG_OTHER, BIG_STRING, CLUSTER, MARKERS_SQL, OLD_BATCH, SQL, markers, records
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+WHITELIST = ["doc:", "order:", "conv:"]
+PATTERN = "^(doc:|order:|conv:|supp:)"
+NOW = "2024-01-29 00:00:00"
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _text(column: str = "key") -> F.Column:
+    return F.col(column).cast("string").alias(column)
+
+
+def query(oracle: str | None = None, ctes: str = "") -> Callable[[Query], Query]:
+    """Register a query; ``oracle`` selects from the projected records."""
+
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = SQL + (", " + ctes if ctes else "") + oracle
+        return f
+
+    return register
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    """Binary columns as text: the projected keys are ASCII."""
+    return df.select(*[_text(f.name) if f.dataType.simpleString() == "binary" else F.col(f.name) for f in df.schema])
+
+
+_COLUMNS = "cluster, batch, instance, db, key, type, member_count, rdb_size, encoding, CAST(expire_at AS VARCHAR) AS expire_at, codis_slot, redis_slot"
+
+
+def _expiry_text(df: DataFrame) -> DataFrame:
+    """Times as DuckDB prints them: decimals only where they are not zero."""
+    text = F.date_format("expire_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return df.withColumn("expire_at", F.regexp_replace(text, r"\.?0+$", ""))
+
+
+@query(f"SELECT {_COLUMNS} FROM records")
+def records_projection(spark, sf_dir):
+    return _shown(_expiry_text(records(spark, sf_dir)))
+
+
+@query(f"SELECT instance, db, key, rdb_size FROM records WHERE cluster = '{CLUSTER}' AND batch = '{BATCH}' AND db = 1")
+def record_filter_cluster_batch(spark, sf_dir):
+    found = records(spark, sf_dir).where((F.col("cluster") == CLUSTER) & (F.col("batch") == BATCH) & (F.col("db") == 1))
+    return _shown(found.select("instance", "db", "key", "rdb_size"))
+
+
+@query("SELECT key, rdb_size FROM records WHERE starts_with(key, 'order:O:')")
+def record_filter_prefix(spark, sf_dir):
+    return _shown(records(spark, sf_dir).where(F.startswith(F.col("key"), F.lit(b"order:O:"))).select("key", "rdb_size"))
+
+
+@query(f"SELECT key, type, rdb_size FROM records WHERE expire_at < TIMESTAMP '{NOW}'")
+def expired_records(spark, sf_dir):
+    return _shown(aggregates.expired(records(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz")).select("key", "type", "rdb_size"))
+
+
+def _total(by: str, name: str | None = None) -> str:
+    alias = f"{by} AS {name}" if name else by
+    return f"SELECT {alias}, count(*) AS key_count, CAST(sum(rdb_size) AS BIGINT) AS total_size FROM records GROUP BY {by}"
+
+
+@query(_total("db"))
+def db_aggregates(spark, sf_dir):
+    return aggregates.by_db(records(spark, sf_dir))
+
+
+@query(_total("type", "data_type"))
+def type_aggregates(spark, sf_dir):
+    return aggregates.by_type(records(spark, sf_dir))
+
+
+@query(_total("instance"))
+def instance_aggregates(spark, sf_dir):
+    return aggregates.by_instance(records(spark, sf_dir))
+
+
+@query("SELECT count(*) AS key_count, CAST(sum(rdb_size) AS BIGINT) AS total_size FROM records")
+def grand_total(spark, sf_dir):
+    return aggregates.grand_total(records(spark, sf_dir))
+
+
+@query("SELECT db, type, instance, count(*) AS key_count, CAST(sum(rdb_size) AS BIGINT) AS total_size FROM records GROUP BY db, type, instance")
+def batch_summary(spark, sf_dir):
+    return aggregates.summary(records(spark, sf_dir))
+
+
+@query(
+    "SELECT CAST(sum(rdb_size) AS BIGINT) AS total_size, count(*) AS key_count, count(DISTINCT instance) AS instances, count(DISTINCT db) AS databases FROM records"
+)
+def overview_stats(spark, sf_dir):
+    return aggregates.overview(records(spark, sf_dir))
+
+
+def _share(by: str) -> str:
+    return (
+        f"SELECT {by}, count(*) AS key_count, CAST(sum(rdb_size) AS BIGINT) AS total_size, "
+        f"CAST(sum(rdb_size) AS DOUBLE) / CAST((SELECT sum(rdb_size) FROM records) AS DOUBLE) AS share FROM records GROUP BY {by}"
+    )
+
+
+@query(_share("type"))
+def share_by_type(spark, sf_dir):
+    return aggregates.shares(records(spark, sf_dir), "type")
+
+
+@query(_share("db"))
+def share_by_db(spark, sf_dir):
+    return aggregates.shares(records(spark, sf_dir), "db")
+
+
+@query(_share("instance"))
+def share_by_instance(spark, sf_dir):
+    return aggregates.shares(records(spark, sf_dir), "instance")
+
+
+_TOP = "key, rdb_size, member_count, type, instance, db, encoding"
+
+
+@query(f"SELECT {_TOP} FROM records ORDER BY rdb_size DESC, key, instance, db LIMIT 100")
+def top_keys(spark, sf_dir):
+    return _shown(aggregates.top_keys(records(spark, sf_dir)).drop("expire_at"))
+
+
+@query(f"SELECT {_TOP} FROM (SELECT * FROM records ORDER BY rdb_size DESC, key, instance, db LIMIT 100) WHERE contains(key, 'doc:') AND type = 'string'")
+def top_keys_filtered(spark, sf_dir):
+    top = aggregates.top_keys(records(spark, sf_dir)).drop("expire_at")
+    return _shown(top.where(F.contains("key", F.lit(b"doc:")) & (F.col("type") == "string")).orderBy("key"))
+
+
+_BIG = f"(type = 'string' AND rdb_size > {BIG_STRING} OR type <> 'string' AND rdb_size > {BIG_OTHER})"
+
+
+@query(f"SELECT key, rdb_size, type, instance, db FROM records WHERE {_BIG}")
+def all_big_keys(spark, sf_dir):
+    return _shown(aggregates.all_big_keys(records(spark, sf_dir), BIG_STRING, BIG_OTHER))
+
+
+@query(
+    f"SELECT key, rdb_size, type, instance, db FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rdb_size DESC, key, instance, db) AS rn "
+    f"FROM records WHERE {_BIG}) WHERE rn = 1"
+)
+def big_keys_per_type(spark, sf_dir):
+    return _shown(aggregates.big_keys_by_type(records(spark, sf_dir), BIG_STRING, BIG_OTHER))
+
+
+def _two_batches(spark, sf_dir) -> DataFrame:
+    now = records(spark, sf_dir)
+    return now.unionByName(now.where("db = 1").withColumn("batch", F.lit(OLD_BATCH)))
+
+
+_TWO = f"two AS (SELECT * FROM records UNION ALL SELECT * REPLACE ('{OLD_BATCH}' AS batch) FROM records WHERE db = 1), {MARKERS_SQL}"
+
+
+@query(
+    "SELECT batch, instance, db, key, rdb_size FROM two WHERE (cluster, batch) IN (SELECT (cluster, max(batch)) FROM markers GROUP BY cluster)",
+    _TWO,
+)
+def latest_completed_view(spark, sf_dir):
+    return _shown(aggregates.latest_completed(_two_batches(spark, sf_dir), markers(spark)).select("batch", "instance", "db", "key", "rdb_size"))
+
+
+@query(f"SELECT batch, db, key, rdb_size FROM two WHERE batch = '{OLD_BATCH}' AND EXISTS (SELECT 1 FROM markers m WHERE m.cluster = two.cluster AND m.batch = two.batch)", _TWO)
+def older_completed_batch(spark, sf_dir):
+    found = aggregates.completed_batch(_two_batches(spark, sf_dir), markers(spark), CLUSTER, F.lit(OLD_BATCH))
+    return _shown(found.select("batch", "db", "key", "rdb_size"))
+
+
+@query(f"SELECT max(batch) AS batch FROM markers WHERE cluster = '{CLUSTER}'", MARKERS_SQL)
+def latest_batch(spark, sf_dir):
+    return markers(spark).where(F.col("cluster") == CLUSTER).agg(F.max("batch").alias("batch"))
+
+
+_PREFIXES = """
+p AS (SELECT left(key, i) AS p, sum(rdb_size) AS ts, count(*) AS kc FROM (SELECT key, rdb_size, unnest(range(1, length(key) + 1)) AS i FROM records) GROUP BY 1),
+s AS (SELECT * FROM p WHERE ts >= greatest((SELECT sum(rdb_size) FROM records) // 100, 1)),
+found AS (SELECT p AS prefix, CAST(ts AS BIGINT) AS total_size, kc AS key_count FROM s
+          WHERE NOT EXISTS (SELECT 1 FROM s c WHERE length(c.p) = length(s.p) + 1 AND left(c.p, length(s.p)) = s.p AND c.kc = s.kc))
+"""
+
+
+@query("SELECT * FROM found", _PREFIXES)
+def top_prefixes(spark, sf_dir):
+    return _shown(prefixes.by_explosion(records(spark, sf_dir)))
+
+
+@query("SELECT * FROM found", _PREFIXES)
+def top_prefixes_blocks(spark, sf_dir):
+    return _shown(prefixes.by_blocks(records(spark, sf_dir)))
+
+
+@query("SELECT * FROM found", _PREFIXES)
+def top_prefixes_descent(spark, sf_dir):
+    return _shown(prefixes.by_descent(records(spark, sf_dir)))
+
+
+@query("SELECT * FROM found", _PREFIXES)
+def prefix_nested_dedupe(spark, sf_dir):
+    return _shown(prefixes.deduplicate_nested(prefixes.by_blocks(records(spark, sf_dir))).select("prefix", "total_size", "key_count"))
+
+
+@query(
+    "SELECT left(key, 7) AS prefix, CAST(sum(rdb_size) AS BIGINT) AS total_size, count(*) AS key_count, min(key) AS min_key, max(key) AS max_key "
+    "FROM records WHERE starts_with(key, 'order:') GROUP BY 1"
+)
+def prefix_partitions(spark, sf_dir):
+    return _shown(prefixes.partitions(records(spark, sf_dir), b"order:"))
+
+
+@query(
+    "SELECT prefix, total_size, key_count, parent, CAST(total_size - coalesce((SELECT sum(k.total_size) FROM linked k WHERE k.parent = linked.prefix), 0) AS BIGINT) "
+    "AS self_size FROM linked",
+    _PREFIXES
+    + ", linked AS (SELECT f.*, (SELECT max(o.prefix) FROM found o WHERE length(o.prefix) < length(f.prefix) AND starts_with(f.prefix, o.prefix)) AS parent FROM found f)",
+)
+def prefix_flame_self(spark, sf_dir):
+    return _shown(prefixes.with_parents(prefixes.by_blocks(records(spark, sf_dir))))
+
+
+def _skew(slot: str) -> str:
+    return f"SELECT count(*) > 0 AS skewed FROM (SELECT {slot} FROM records WHERE {slot} IS NOT NULL GROUP BY {slot} HAVING count(DISTINCT instance) > 1)"
+
+
+@query(_skew("codis_slot"))
+def codis_slot_skew(spark, sf_dir):
+    return aggregates.has_skew(records(spark, sf_dir), "codis_slot")
+
+
+@query(_skew("redis_slot"))
+def redis_slot_skew(spark, sf_dir):
+    return aggregates.has_skew(records(spark, sf_dir), "redis_slot")
+
+
+@query("SELECT db, count(DISTINCT instance) AS instances FROM records GROUP BY db HAVING count(DISTINCT instance) > 1")
+def instances_per_slot(spark, sf_dir):
+    return aggregates.skewed_slots(records(spark, sf_dir), "db")
+
+
+def _reflected_table() -> list[int]:
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ 0xEDB88320 if c & 1 else c >> 1
+        table.append(c)
+    return table
+
+
+def _fold(start: str, step: str) -> str:
+    """A DuckDB fold over the bytes of an ASCII key."""
+    each = "list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))"
+    return f"list_reduce(list_prepend(CAST({start} AS BIGINT), {each}), lambda crc, b: {step})"
+
+
+@query(
+    "SELECT key, CAST(xor("
+    + _fold("4294967295", "xor(crc >> 8, t.v[(xor(crc, b) & 255) + 1])")
+    + f", 4294967295) % {slots.CODIS_SLOTS} AS INTEGER) AS slot FROM records, t",
+    f"t AS (SELECT CAST({_reflected_table()} AS BIGINT[]) AS v)",
+)
+def codis_slot_values(spark, sf_dir):
+    return records(spark, sf_dir).select(_text(), slots.codis_slot(F.col("key")).alias("slot"))
+
+
+@query(
+    "SELECT key, CAST("
+    + _fold("0", "xor((crc << 8) & 65535, t.v[(xor(crc >> 8, b) & 255) + 1])")
+    + f" % {slots.REDIS_SLOTS} AS INTEGER) AS slot FROM records, t",
+    f"t AS (SELECT CAST({slots._crc16_table()} AS BIGINT[]) AS v)",
+)
+def redis_slot_values(spark, sf_dir):
+    return records(spark, sf_dir).select(_text(), slots.redis_slot(F.col("key")).alias("slot"))
+
+
+@query(f"SELECT substr(key, 1, instr(key, ':')) AS prefix, key FROM records WHERE substr(key, 1, instr(key, ':')) NOT IN ({', '.join(map(repr, WHITELIST))})")
+def prefix_whitelist_violations(spark, sf_dir):
+    return aggregates.whitelist_violations(records(spark, sf_dir), WHITELIST)
+
+
+@query(
+    f"SELECT substr(key, 1, instr(key, ':')) AS prefix, key FROM records WHERE substr(key, 1, instr(key, ':')) NOT IN ({', '.join(map(repr, WHITELIST))}) "
+    "ORDER BY key LIMIT 100"
+)
+def prefix_whitelist_sample(spark, sf_dir):
+    return aggregates.whitelist_violations(records(spark, sf_dir), WHITELIST).orderBy("key").limit(100)
+
+
+@query(f"SELECT regexp_extract(key, '{PATTERN}', 1) AS prefix, count(*) AS key_cnt FROM records WHERE regexp_extract(key, '{PATTERN}', 1) <> '' GROUP BY 1")
+def prefix_whitelist_counts(spark, sf_dir):
+    return aggregates.whitelist_counts(records(spark, sf_dir), PATTERN)
+
+
+@query(
+    f"SELECT regexp_extract(key, '{PATTERN}', 1) AS prefix, count(*) AS key_cnt FROM two WHERE (cluster, batch) IN "
+    f"(SELECT (cluster, max(batch)) FROM markers GROUP BY cluster) AND regexp_extract(key, '{PATTERN}', 1) <> '' GROUP BY 1",
+    _TWO,
+)
+def adhoc_sql_view(spark, sf_dir):
+    """Spark SQL over the view of the latest completed batches."""
+    _two_batches(spark, sf_dir).createOrReplaceTempView("records_raw")
+    markers(spark).createOrReplaceTempView("import_batches_completed")
+    view = aggregates.latest_completed(spark.table("records_raw"), spark.table("import_batches_completed"))
+    view.createOrReplaceTempView("records_view")
+    return spark.sql(
+        """
+        WITH found AS (SELECT regexp_extract(CAST(key AS STRING), :pattern, 1) AS prefix FROM records_view WHERE cluster = :cluster)
+        SELECT prefix, count(*) AS key_cnt FROM found WHERE prefix <> '' GROUP BY prefix ORDER BY key_cnt DESC
+        """,
+        args={"pattern": PATTERN, "cluster": CLUSTER},
+    )
+
+
+@query("SELECT count(DISTINCT cluster) = 1 AND count(DISTINCT batch) = 1 AS consistent FROM records")
+def batch_consistency_check(spark, sf_dir):
+    found = records(spark, sf_dir).agg(F.min("cluster").alias("a"), F.max("cluster").alias("b"), F.min("batch").alias("c"), F.max("batch").alias("d"))
+    return found.select(((F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))).alias("consistent"))
+
+
+@query(
+    "SELECT instance, db, key, max(rdb_size) AS rdb_size FROM (SELECT instance, db, key, rdb_size FROM records UNION ALL "
+    "SELECT instance, db, key, rdb_size + 1 FROM records WHERE db = 2) GROUP BY instance, db, key"
+)
+def dedupe_latest(spark, sf_dir):
+    now = records(spark, sf_dir)
+    twice = now.unionByName(now.where("db = 2").withColumn("rdb_size", F.col("rdb_size") + 1))
+    return _shown(aggregates.deduplicate(twice, F.col("rdb_size")).select("instance", "db", "key", "rdb_size"))
+
+
+@query("SELECT instance, db, key, rdb_size FROM records")
+def kway_merge_sorted(spark, sf_dir):
+    now = records(spark, sf_dir)
+    parts = [now.where(F.col("instance") == f"node-{i}") for i in range(4)]
+    return _shown(aggregates.merge_sorted(parts, "db", "key").select("instance", "db", "key", "rdb_size"))
+
+
+
+@query(
+    "SELECT key, CASE WHEN rdb_size < 1024 THEN CAST(rdb_size AS VARCHAR) || 'B' WHEN rdb_size < 1048576 THEN printf('%.2fKB', rdb_size / 1024.0) "
+    "ELSE printf('%.2fMB', rdb_size / 1048576.0) END AS size, base64(encode(key)) AS key_base64, hex(encode(key)) AS key_hex FROM records"
+)
+def formatted_keys(spark, sf_dir):
+    now = records(spark, sf_dir)
+    return now.select(
+        formatting.display_key_column(F.col("key")).alias("key"),
+        formatting.bytesize_column(F.col("rdb_size")).alias("size"),
+        F.base64("key").alias("key_base64"),
+        F.hex("key").alias("key_hex"),
+    )
+
+
+@query(
+    "SELECT type, CASE WHEN starts_with(b, 'order') THEN 'order' ELSE '' END AS common FROM (SELECT type, min(key) AS a, max(key) AS b FROM records WHERE type = 'hash' GROUP BY type)"
+)
+def common_prefix_by_type(spark, sf_dir):
+    ends = records(spark, sf_dir).where("type = 'hash'").groupBy("type").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    common = formatting.common_prefix_column(F.col("a"), F.col("b")).cast("string")
+    return ends.select("type", F.substring(common, 1, 5).alias("common"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    from keyloom.session import shared_dir
+
+    return f"{shared_dir(spark).rstrip('/')}/keyloom/{name}-{next(tempfile._get_candidate_names())}"
+
+
+def _to_schema(df: DataFrame) -> DataFrame:
+    """Projected records under RECORD_SCHEMA."""
+    ns = formatting.parse_rfc3339_ns(BATCH)
+    return df.select(
+        "cluster", F.lit(ns // 1000).cast("long").alias("us"), "instance", "db", "key", "type", "member_count", "rdb_size", "encoding",
+        F.col("expire_at").cast("timestamp").alias("expire_at"), F.lit(None).cast("long").alias("idle_seconds"), F.lit(None).cast("short").alias("freq"),
+        "codis_slot", "redis_slot", F.lit(ns).alias("batch_ns"),
+    ).withColumn("batch", F.timestamp_micros("us"))
+
+
+@query("SELECT cluster, instance, db, key, type, member_count, rdb_size, encoding, codis_slot, redis_slot FROM records")
+def parquet_sink_roundtrip(spark, sf_dir):
+    from keyloom.sinks.batches import Store
+
+    store = Store(spark, _scratch(spark, "store"))
+    store.write(_to_schema(records(spark, sf_dir)), CLUSTER, BATCH)
+    back = store.read(CLUSTER, store.latest(CLUSTER))
+    return _shown(back.select("cluster", "instance", "db", "key", "type", "member_count", "rdb_size", "encoding", "codis_slot", "redis_slot"))
+
+
+@query("SELECT key, rdb_size FROM records WHERE db = 1")
+def parquet_scan_by_db(spark, sf_dir):
+    """One database of a stored batch: the filter and the two columns reach the scan."""
+    from keyloom.sinks.batches import Store
+
+    store = Store(spark, _scratch(spark, "store"))
+    store.write(_to_schema(records(spark, sf_dir)), CLUSTER, BATCH, compression="snappy")
+    return _shown(store.read(CLUSTER).where("db = 1").select("key", "rdb_size"))
+
+
+@query(
+    "SELECT part, name, key_count, total_size FROM ("
+    "SELECT 'db' AS part, CAST(db AS VARCHAR) AS name, count(*) AS key_count, CAST(sum(rdb_size) AS BIGINT) AS total_size FROM records GROUP BY db "
+    "UNION ALL SELECT 'type', type, count(*), CAST(sum(rdb_size) AS BIGINT) FROM records GROUP BY type "
+    "UNION ALL SELECT 'instance', instance, count(*), CAST(sum(rdb_size) AS BIGINT) FROM records GROUP BY instance "
+    "UNION ALL SELECT 'prefix', prefix, key_count, total_size FROM found)",
+    _PREFIXES,
+)
+def full_report(spark, sf_dir):
+    """The report's totals and prefixes, as rows."""
+    import base64
+
+    from keyloom.plans.report import build_report
+
+    found = build_report(_to_schema(records(spark, sf_dir)))
+    rows = [("db", str(r["db"]), r["key_count"], r["total_size"]) for r in found.db_aggregates]
+    rows += [("type", r["data_type"], r["key_count"], r["total_size"]) for r in found.type_aggregates]
+    rows += [("instance", r["instance"], r["key_count"], r["total_size"]) for r in found.instance_aggregates]
+    rows += [("prefix", base64.b64decode(r["prefix_base64"]).decode(), r["key_count"], r["total_size"]) for r in found.top_prefixes]
+    return spark.createDataFrame(rows, "part string, name string, key_count long, total_size long")
+
+
+@query("SELECT url AS key, length(html) AS n FROM pages")
+def rdb_file_scan(spark, sf_dir):
+    """Pages written as a snapshot of string keys by Spark tasks, and read back by the decoder."""
+    from keyloom.sources.rdb_source import read_files
+    from keyloom.sources.rdb_writer import string_snapshot
+
+    folder = _scratch(spark, "dumps")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", F.length("html").alias("n"))
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/dump.rdb")
+    out = path.getFileSystem(conf).create(path)
+    dump = io.BytesIO()
+    string_snapshot(dump, ((r["url"].encode(), b"x" * (r["n"] or 0)) for r in pages.toLocalIterator()))
+    out.write(bytearray(dump.getvalue()))
+    out.close()
+    found = read_files(spark, folder, CLUSTER, BATCH)
+    # A record's size has its type byte, key and value with their length bytes.
+    head = lambda n: F.when(n < 64, 1).when(n < 16384, 2).otherwise(5)
+    body = F.col("rdb_size") - 1 - F.length("key") - head(F.length("key"))
+    n = F.when(body - 1 < 64, body - 1).when(body - 2 < 16384, body - 2).otherwise(body - 5)
+    return found.select(_text(), n.cast("long").alias("n"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
