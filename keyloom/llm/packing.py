@@ -50,7 +50,8 @@ class Packer:
     """Packs documents given one after the other; ``rows`` are the pieces of finished sequences."""
 
     def __init__(self, first_sequence: int, tiers: tuple[int, ...] = TIERS, pool: int = POOL, step: int = STEP):
-        self.tiers, self.pool, self.step = sorted(tiers), pool, step
+        self.tiers, self.step = sorted(tiers), step
+        self.pool = max(pool, 4 * self.tiers[-1])  # so what is left can always fill a sequence
         self.rests: list[Rest] = []
         self.held = self.arrived = 0
         self.next_sequence = self.first = first_sequence

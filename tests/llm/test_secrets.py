@@ -1,0 +1,111 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from keyloom.llm import secrets
+from keyloom.llm.queries import op5_secrets
+
+SF = "/root/testdata/sf0.001"
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def brute(text):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(found)
+
+
+def test_base_spans_against_brute_force(docs):
+    want = [(r["doc_id"], brute(r["text"] or "")) for r in docs.select("doc_id", "text").collect()]
+    found = [(r["doc_id"], [tuple(s) for s in r["base"]]) for r in secrets.find_secrets(docs).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_query_digest(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op5_secrets(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = brute(texts[r["doc_id"]])
+        joined = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == i for _, k, _ in spans) for i in range(3))
+        assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
+
+
+def test_empty_table_and_clashing_names(no_docs, clashing):
+    assert secrets.find_secrets(no_docs).collect() == []
+    assert secrets.find_secrets(clashing).first()["spans"] == []
+    assert secrets.redact(no_docs).collect() == []
+
+
+def test_failing_match_is_consumed(spark):
+    frame = spark.createDataFrame([(1, "secret: token: abcdefgh"), (2, "token=ab token=abcdef"), (3, "TOKEN=ſecretſ api-key=x")], "doc_id long, text string")
+    found = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in secrets.find_secrets(frame).collect()}
+    assert found == {r["doc_id"]: brute(r["text"]) for r in frame.collect()}
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Random tokens among prose, identifiers and long words."""
+    rnd = random.Random(11)
+    rows = []
+    for i in range(120):
+        kind, n = i % 4, rnd.choice([24, 32, 40, 64])
+        if kind == 0:
+            token = "".join(rnd.choice(secrets.ALPHABETS[64][:62]) for _ in range(n))
+        elif kind == 1:
+            token = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+        elif kind == 2:
+            token = "get_user_name_from_the_data_base_" + "or_other_places_"[: n // 4] + "v2"
+        else:
+            token = "abcdefghijkl0123" * 3
+        rows.append((i, f"some prose {token} and more", token, kind))
+    return spark.createDataFrame(rows, "doc_id long, text string, token string, kind int")
+
+
+def test_battery_finds_random_tokens_alone(planted):
+    rows = {r["doc_id"]: r for r in secrets.find_secrets(planted).collect()}
+    hit = {0: 0, 1: 0, 2: 0, 3: 0}
+    for r in planted.collect():
+        for start, kind, end in rows[r["doc_id"]]["spans"]:
+            assert kind != 3 or r["text"][start:end] == r["token"]
+            hit[r["kind"]] += kind == 3
+    assert hit[0] >= 27 and hit[1] == hit[2] == 0
+
+
+def test_battery_statistics(spark):
+    rnd = random.Random(2)
+    tokens = ["".join(rnd.choice(secrets.ALPHABETS[64]) for _ in range(60)) for _ in range(200)]
+    bad = ["AAAAAAAAAAaaaaaaaaaa0000000000" * 2, "aB3" * 20]
+    frame = spark.createDataFrame([(t,) for t in tokens + bad], "t string").select("t", secrets._battery(F.col("t")).alias("b"))
+    p = {r["t"]: r["b"]["p"] for r in frame.collect()}
+    assert sum(p[t] < 0.05 for t in tokens) < 30  # the level holds, about
+    assert all(p[t] < secrets.TEST_LEVEL for t in bad)
+
+
+def test_redaction_joins_overlapping_spans(spark):
+    key = "0123456789abcdef0123456789abcdef"
+    frame = spark.createDataFrame([(1, f"é token={key} end", "x"), (2, None, "x"), (3, "clean text", None)], "doc_id long, text string, base string")
+    found = {r["doc_id"]: r["text"] for r in secrets.redact(frame).collect()}
+    assert found == {1: "é [SECRET] end", 2: None, 3: "clean text"}
+    assert secrets.redact(frame).columns == frame.columns
+
+
+def test_step_up_rule(spark):
+    """k tokens pass at m / (rate * k) with the level shared by the length classes."""
+    kind = "array<struct<start:int,end:int,class:int,test:struct<encoding:int,p:double,evidence:double>>>"
+    values = [5.0] * 5 + [-3.0] * 95
+    rows = [([(0, 30, 0, (64, 0.5, v))],) for v in values] + [([(0, 30, 0, (64, 1e-9, 9.0))],)]
+    cut = secrets.evidence_cutoffs(spark.createDataFrame(rows, f"candidates {kind}"))
+    # 101 * 4 / (0.01 * 5) is 10 to the 3.9.
+    assert cut[0] == 5.0 and cut[1:] == [float("inf")] * 3
+
+
+def test_plan_has_no_python(spark):
+    plan = op5_secrets(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
