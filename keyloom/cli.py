@@ -43,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="keyloom", description=__doc__.splitlines()[0])
     commands = top.add_subparsers(dest="command", required=True)
     dump = commands.add_parser("dump", help="read snapshots into a store")
+    option(dump, "--prometheus", default="")
     option(dump, "--concurrency", type=_concurrency, default=max(1, min(8, (os.cpu_count() or 2) // 2)))
     sources = dump.add_subparsers(dest="source", required=True)
     for name, mode in (("from-standalone", "standalone"), ("from-cluster", "cluster"), ("from-file", "file"), ("from-codis", "codis")):
@@ -69,11 +70,17 @@ def parser() -> argparse.ArgumentParser:
         files = sinks.add_parser("into-parquet")
         option(files, "--dir", required=True)
         option(files, "--compression", default="zstd", choices=["zstd", "snappy", "none", "lz4", "gzip"])
+        server = sinks.add_parser("into-clickhouse")
+        option(server, "--url", required=True)
+        option(server, "--proxy-url", default="")
+        server.add_argument("--auto-create-tables", action="store_true", default=env("AUTO_CREATE_TABLES") in ("1", "true"))
         tables = sinks.add_parser("into-tables")
         option(tables, "--database", default="default")
         tables.add_argument("--auto-create-tables", action="store_true")
     report = commands.add_parser("report", help="write the page of a batch")
-    option(report, "--dir", required=True)
+    option(report, "--dir")
+    option(report, "--url")
+    option(report, "--proxy-url", default="")
     option(report, "--cluster", required=True)
     option(report, "--batch")
     option(report, "--output")
@@ -81,10 +88,56 @@ def parser() -> argparse.ArgumentParser:
     misc = commands.add_parser("misc", help="utilities").add_subparsers(dest="what", required=True)
     schema = misc.add_parser("schema", help="print the statements that make the tables")
     option(schema, "--database", default="default")
+    misc.add_parser("clickhouse-schema", help="print the statements for a ClickHouse server")
+    completion = misc.add_parser("completion", help="print a completion script")
+    option(completion, "--shell", default=Path(os.environ.get("SHELL", "bash")).name, choices=["bash", "zsh", "fish"])
     return top
 
 
+def _words(p: argparse.ArgumentParser) -> dict[str, list[str]]:
+    """What may follow each subcommand."""
+    out: dict[str, list[str]] = {}
+
+    def walk(p: argparse.ArgumentParser, name: str) -> None:
+        own = out.setdefault(name, [])
+        for action in p._actions:
+            own += [f for f in action.option_strings if f.startswith("--") and f not in own]
+            if isinstance(action, argparse._SubParsersAction):
+                own += [c for c in action.choices if c not in own]
+                for child, below in action.choices.items():
+                    walk(below, child)
+
+    walk(p, "keyloom")
+    return out
+
+
+def completion_script(shell: str) -> str:
+    """Words by the last subcommand on the line."""
+    words = _words(parser())
+    if shell == "fish":
+        lines = []
+        for name, own in words.items():
+            seen = "__fish_use_subcommand" if name == "keyloom" else f"__fish_seen_subcommand_from {name}"
+            lines.append(f"complete -c keyloom -f -n '{seen}' -a '{' '.join(own)}'")
+        return "\n".join(lines) + "\n"
+    cases = "\n".join(f"      {name}) found='{' '.join(own)}' ;;" for name, own in words.items())
+    start = "autoload -U +X bashcompinit && bashcompinit\n" if shell == "zsh" else ""
+    return f"""{start}_keyloom() {{
+  local found='' word
+  for word in "${{COMP_WORDS[@]:0:COMP_CWORD}}"; do
+    case "$word" in
+{cases}
+    esac
+  done
+  COMPREPLY=($(compgen -W "$found" -- "${{COMP_WORDS[COMP_CWORD]}}"))
+}}
+complete -F _keyloom keyloom
+"""
+
+
 def run_dump(spark: SparkSession, args) -> str:
+    from keyloom.plans.metrics import Metrics, serve
+    from keyloom.sinks import clickhouse
     from keyloom.sinks.batches import Store, append_to_tables
     from keyloom.sources import discovery
     from keyloom.sources.rdb_source import register
@@ -101,18 +154,38 @@ def run_dump(spark: SparkSession, args) -> str:
     # One instance a partition; fewer partitions read at the same time where the servers should be spared.
     if args.mode != "file":
         records = records.coalesce(args.concurrency)
-    if args.sink == "into-tables":
-        append_to_tables(spark, records, cluster, batch, instances or [], args.auto_create_tables, args.database)
-        return f"{cluster} {batch}"
-    return Store(spark, args.dir).write(records, cluster, batch, instances, args.compression)
+    metrics = Metrics()
+    endpoint = serve(metrics, args.prometheus) if args.prometheus else None
+    try:
+        if args.sink == "into-clickhouse":
+            clickhouse.write(records, clickhouse.ClickHouse(args.url, args.proxy_url), cluster, batch, args.auto_create_tables)
+            return f"{cluster} {batch}"
+        if args.sink == "into-tables":
+            append_to_tables(spark, records, cluster, batch, instances or [], args.auto_create_tables, args.database)
+            return f"{cluster} {batch}"
+        store = Store(spark, args.dir)
+        out = store.write(records, cluster, batch, instances, args.compression)
+        if endpoint:
+            metrics.add_records(store.read(cluster, batch), batch)
+        return out
+    finally:
+        if endpoint:
+            endpoint.shutdown()
 
 
 def run_report(spark: SparkSession, args) -> str:
     from keyloom.plans import render
     from keyloom.plans.report import build_report
+    from keyloom.sinks import clickhouse
     from keyloom.sinks.batches import Store
 
-    report = build_report(Store(spark, args.dir).read(args.cluster, args.batch), args.cluster)
+    if args.url:
+        clickhouse.register(spark)
+        options = {"url": args.url, "proxy": args.proxy_url, "cluster": args.cluster} | ({"batch": args.batch} if args.batch else {})
+        records = spark.read.format("clickhouse_records").options(**options).load()
+    else:
+        records = Store(spark, args.dir).read(args.cluster, args.batch)
+    report = build_report(records, args.cluster, args.batch if args.url else None)
     suffix = args.format.rpartition("-")[2]
     made = {"html": render.render_page, "json": lambda r: r.to_json(readable=True), "prefixes-csv": render.prefixes_csv, "keys-csv": render.keys_csv}
     path = args.output or report_name(args.cluster, report.batch, suffix)
@@ -123,10 +196,15 @@ def run_report(spark: SparkSession, args) -> str:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "misc":
-        from keyloom.sinks.batches import ddl
+        from keyloom.sinks import batches, clickhouse
 
-        print(";\n\n".join(ddl(args.database)) + ";")
+        if args.what == "completion":
+            print(completion_script(args.shell), end="")
+        else:
+            print(";\n\n".join(batches.ddl(args.database) if args.what == "schema" else clickhouse.ddl()) + ";")
         return 0
+    if args.command == "report" and bool(args.dir) == bool(args.url):
+        parser().error("report needs either --dir or --url")
     spark = SparkSession.builder.appName("keyloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     print({"dump": run_dump, "report": run_report}[args.command](spark, args))
     return 0
