@@ -23,7 +23,7 @@ from .common import map_texts
 from .labelled import SAMPLE, held_out, sample_ids, with_labels
 
 #: Terms that are counted, and those that vote.
-CANDIDATES, TERMS = 6_000, 400
+CANDIDATES, TERMS = 4_000, 250
 SHORTEST, LONGEST = 4, 10
 _EDGE = ".,;:!?\"'()[]{}*#%$&|<>-_"
 PATTERNS = ("shouting", "capitals", "second_person", "digits", "repeats")
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     flat = found.values.to_numpy()[ends[0] : ends[-1]]
     present[np.repeat(np.arange(len(y)), np.diff(ends)), flat] = True
     kept = choose_terms(present, y, names)
-    own = present[:, kept].astype(float)
+    own = present[:, kept].astype(np.float32)
     patterns = facts[:, 1:] > np.array([0.2, 0.5, 0.2, 0.3, 0.6])
     posterior, _, _ = label_model(np.hstack([own, patterns]), y)
     terms = [names[j] for j in kept]
