@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import io
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from keyloom.functions import formatting, slots
 from keyloom.operators import aggregates, prefixes
 from keyloom.plans.projection import BATCH, BIG_OTHER, BIG_STRING, CLUSTER, MARKERS_SQL, OLD_BATCH, SQL, markers, records
+from keyloom.session import work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 WHITELIST = ["doc:", "order:", "conv:"]
@@ -374,9 +375,7 @@ def common_prefix_by_type(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    from keyloom.session import shared_dir
-
-    return f"{shared_dir(spark).rstrip('/')}/keyloom/{name}-{next(tempfile._get_candidate_names())}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _to_schema(df: DataFrame) -> DataFrame:
