@@ -27,6 +27,9 @@ from .common import map_texts
 
 SHINGLE = 4
 RADIUS = 4
+#: Blocks of a fingerprint. Six give 15 keys of 21 bits: buckets stay small up to some ten million different prints. Eight
+#: give 70 keys of 32 bits, for ten thousand millions. The result is the same for any number over the radius.
+BLOCKS = 6
 #: Members of one chunk of a hot bucket.
 CELL = 16_384
 #: Hashes whose bits are counted at once.
@@ -64,15 +67,13 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, **cols: str) -> DataFr
     return map_texts(docs, "fp long", rows, **cols)
 
 
-def block_plan(n: int, radius: int = RADIUS, crowd: int = 32) -> list[int]:
-    """Masks of the bucket keys: the fewest keys for which a bucket of evenly spread prints holds at most ``crowd``."""
-    for blocks in range(radius + 1, radius + 5):
-        edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-        parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
-        masks = [sum(c) for c in combinations(parts, blocks - radius)]
-        if n >> min(m.bit_count() for m in masks) <= crowd:
-            break
-    return masks
+def block_masks(blocks: int, radius: int = RADIUS) -> list[int]:
+    """Masks of the bucket keys: every choice of ``blocks - radius`` of the blocks."""
+    if not radius < blocks <= 64:
+        raise ValueError("more blocks than differing bits are needed")
+    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
+    return [sum(c) for c in combinations(parts, blocks - radius)]
 
 
 def _signed(x: int) -> int:
@@ -98,12 +99,12 @@ def spanning_edges(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray
     return (np.concatenate(members), np.concatenate(roots)) if members else (none, none)
 
 
-def close_edges(prints: DataFrame, n: int, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+def close_edges(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
     """Distinct (u, v), u > v: within each bucket, a spanning forest of the links at ``radius`` or fewer bits.
 
-    ``prints`` has distinct longs ``fp``, ``n`` of them.
+    ``prints`` has distinct longs ``fp``.
     """
-    masks = block_plan(n, radius)
+    masks = block_masks(blocks, radius)
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])
     keyed = prints.select("fp", F.explode(keys).alias("key")).select("key.k", "key.bits", "fp")
     crowded = keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1")
@@ -157,24 +158,24 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("u", F.col("v").alias("root"))
 
 
-def _roots(prints: DataFrame, radius: int) -> DataFrame:
+def _roots(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
     """(fp, least_id, root) of distinct prints: the smallest id with the print, and its component's smallest print."""
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(close_edges(distinct.select("fp"), distinct.count(), radius))
+    roots = components(close_edges(distinct.select("fp"), radius, blocks))
     named = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     return materialize(named, "named")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, **cols: str) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, **cols: str) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per document."""
     prints = materialize(fingerprints(docs, shingle, **cols), "prints")
-    named = _roots(prints, radius)
+    named = _roots(prints, radius, blocks)
     classes = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_print = named.join(classes, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """The rows of ``docs``, all columns, of one document a component: that with the smallest id, null ids last.
 
     Rows are known by a hash of id and text; of rows equal in both, one stays.
@@ -183,7 +184,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     small = keyed.select(F.struct(F.col("doc_id").alias("id"), F.col(key).alias("key")).alias("doc_id"), "text")
     prints = materialize(fingerprints(small, shingle).select("doc_id.id", "doc_id.key", "fp"), "prints")
-    named = _roots(prints.select(F.col("id").alias("doc_id"), "fp"), radius)
+    named = _roots(prints.select(F.col("id").alias("doc_id"), "fp"), radius, blocks)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     kept = prints.join(named, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias(key))
     return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
