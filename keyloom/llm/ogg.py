@@ -17,6 +17,9 @@ from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from keyloom.session import pick
 
 from .common import map_texts
 
@@ -189,6 +192,38 @@ def load(data: bytes) -> Media:
     return Media(b"".join(d for _, d in timed), rate, len(pages), len(timed), timed[-1][0] if timed else 0.0)
 
 
+_REPORT = (
+    "ok boolean, error string, pages long, streams array<struct<serial:long,pages:long,packets:long,payload_bytes:long,last_granule:long>>"
+)
+
+
+def inspect(data: bytes | None) -> tuple:
+    """(ok, error, pages, streams) of any Ogg file; a damaged or missing one has an error and no streams."""
+    if data is None:
+        return False, "no data", 0, []
+    try:
+        pages = read_pages(data)
+        streams = []
+        for serial, packets in demultiplex(pages).items():
+            own = [p for p in pages if p.serial == serial]
+            last = max((p.granule for p in own), default=-1)
+            streams.append({"serial": serial, "pages": len(own), "packets": len(packets), "payload_bytes": sum(len(p.data) for p in packets), "last_granule": last})
+        return True, None, len(pages), streams
+    except OggError as e:
+        return False, str(e), 0, []
+
+
+def inspect_column(media: DataFrame, id_col: str = "doc_id", data_col: str = "data") -> DataFrame:
+    """(doc_id, ok, error, pages, streams) of a binary column of Ogg files: one row per row, null data included."""
+    marked = pick(media, doc_id=id_col, text=data_col)
+    whole = marked.select(F.struct("doc_id", F.col("text").isNull().alias("none")).alias("doc_id"), "text")
+    found = map_texts(whole, _REPORT, lambda batch: [list(c) for c in zip(*map(inspect, batch))])
+    missing = F.col("doc_id.none")
+    return found.select(
+        "doc_id.doc_id", (F.col("ok") & ~missing).alias("ok"), F.when(missing, "no data").otherwise(F.col("error")).alias("error"), "pages", "streams"
+    )
+
+
 def signal_features(media: Media) -> str:
     """Whole-number statistics of the samples, so that equal texts give equal strings on any machine."""
     samples = np.frombuffer(media.payload, np.uint8).astype(np.int64)

@@ -100,3 +100,13 @@ def test_query_against_plain_values(docs, no_docs, clashing):
 
 def test_struct_sizes():
     assert ogg._HEAD.size == 27 and struct.calcsize("<8sIHHQ") == ogg._IDENT.size
+
+
+def test_column_of_files(spark):
+    good = ogg.store(ogg.pad(b"x" * 5000))
+    rows = [(1, bytearray(good)), (2, bytearray(good[:-1])), (3, None), (4, bytearray(b""))]
+    found = {r["doc_id"]: r for r in ogg.inspect_column(spark.createDataFrame(rows, "doc_id long, data binary")).collect()}
+    assert found[1]["ok"] and [(s["serial"], s["packets"], s["last_granule"]) for s in found[1]["streams"]] == [(1, 6, 5184), (2, 5, 4608)]
+    assert not found[2]["ok"] and "cut page" in found[2]["error"]
+    assert not found[3]["ok"] and found[3]["error"] == "no data"
+    assert found[4]["ok"] and found[4]["streams"] == []
