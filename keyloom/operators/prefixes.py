@@ -6,7 +6,7 @@ the longest is kept; the empty prefix never is. Three plans give the same rows:
 * ``by_blocks`` (the report's) expands a few bytes of prefix length at a time, and only below prefixes that were still
   significant. Significant prefixes of one length are disjoint, so at most 100 pass (199 where the threshold is floored
   to small totals): that bound is why they may be broadcast.
-* ``by_explosion`` expands every prefix of every key in one plan: short keys, or a lazy result.
+* ``by_explosion`` expands every prefix of every key in one plan, for short keys.
 * ``by_descent`` carries one prefix length a key and grows all of them level by level.
 """
 
@@ -58,11 +58,8 @@ def _expand(records: DataFrame, low: int, high: int | None) -> DataFrame:
 
 
 def by_explosion(records: DataFrame, divisor: int = DIVISOR) -> DataFrame:
-    total = records.agg(F.coalesce(F.sum("rdb_size"), F.lit(0)).alias("total"))
-    sums = _sums(_expand(records, 1, None))
-    # The total is one row; the threshold joins as a scalar.
-    kept = sums.crossJoin(F.broadcast(total)).where(F.col("total_size") >= F.greatest(F.expr(f"total div {divisor}"), F.lit(1))).drop("total")
-    return drop_shorter_equals(kept)
+    least = threshold(records.agg(F.sum("rdb_size")).first()[0] or 0, divisor)
+    return drop_shorter_equals(_sums(_expand(records, 1, None)).where(F.col("total_size") >= least))
 
 
 def by_blocks(records: DataFrame, divisor: int = DIVISOR, block: int = 8) -> DataFrame:

@@ -189,7 +189,7 @@ def append_to_tables(spark: SparkSession, records: DataFrame, cluster: str, batc
     ensure_tables(spark, create, database)
     ns = parse_rfc3339_ns(batch)
     target = spark.table(f"{database}.{TABLES[0]}")
-    # Rows of one batch go to one table partition; they spread by key first, so one instance is not one file.
+    # Every task appends its own rows to the batch's table partition: no shuffle.
     records.select(*target.columns).write.mode("append").insertInto(f"{database}.{TABLES[0]}")
     marker = spark.createDataFrame([(cluster, ns, instances)], "cluster string, batch_ns long, instances array<string>")
     marker.select("cluster", F.timestamp_micros(F.expr("batch_ns div 1000")).alias("batch"), "batch_ns", "instances").write.mode("append").insertInto(
