@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,6 +17,26 @@ from keyloom.session import pick, ship
 SLICE = 512
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker stays between tasks, beside its executor's other users of memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition's batches, and ``release`` behind it."""
+
+    def run_and_release(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return run_and_release
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text as UTF-8 bytes, null: empty). Extra columns, clashing names included, are ignored."""
     out = pick(docs, doc_id=id_col, text=text_col)
@@ -42,4 +64,4 @@ def map_texts(docs: DataFrame, schema: str, rows: Callable[[list[bytes]], list[l
                 columns = [part.column(0)] + [pa.array(v, type=target.field(i + 1).type) for i, v in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(columns, schema=target)
 
-    return src.mapInArrow(run, full)
+    return src.mapInArrow(released(run), full)

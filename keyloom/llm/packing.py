@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 from keyloom.session import ship
 
 from .bpe import encoder
-from .common import SLICE, texts
+from .common import SLICE, released, texts
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens that wait for a sequence, at most.
@@ -144,4 +144,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TI
         if packer.rows:
             yield finished()
 
-    return src.mapInArrow(run, full)
+    return src.mapInArrow(released(run), full)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from keyloom.session import materialize, pick, ship
 
-from .common import SLICE, map_texts
+from .common import SLICE, map_texts, released
 from .substrings import covered, window_hashes
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
@@ -163,4 +163,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: flo
                     keep.append(not base_failed(c) and all(b <= limit for b, limit in zip(shares(c), own)))
                 yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

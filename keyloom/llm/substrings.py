@@ -27,11 +27,11 @@ from pyspark.sql.types import StructType
 
 from keyloom.session import ship
 
-from .common import SLICE, texts
+from .common import SLICE, release, released, texts
 
 WIDTH = 35
 #: Windows combined by a reader, and hashes held by a counter.
-SLAB, RANGE = 2_000_000, 3_000_000
+SLAB, RANGE = 500_000, 3_000_000
 _BASE = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 16
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -219,9 +219,10 @@ def repeated_places(src: DataFrame, width: int = WIDTH) -> DataFrame:
             return group.select(["key", "base", "data"]).rename_columns(names)
         found = [pa.RecordBatch.from_arrays(list(r), names=names) for r in _count_range(group["data"].to_pylist())]
         target = pa.schema([("key", pa.int64()), ("base", pa.int64()), ("places", pa.binary())])
+        release()
         return pa.Table.from_batches([b.cast(target) for b in found], schema=target)
 
-    sent = src.select("key", "text").mapInArrow(read, schema)
+    sent = src.select("key", "text").mapInArrow(released(read), schema)
     return sent.groupBy("route").applyInArrow(count, "key long, base long, places binary")
 
 
@@ -263,9 +264,9 @@ def removal_masks(docs: DataFrame, schema: str, make, width: int = WIDTH, **cols
                 columns = [pa.array(c, type=f.type) for c, f in zip(zip(*made), list(target)[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=target)
 
-    texts_by_key = src.select("doc_id", "key", "text").mapInArrow(squeeze, small)
+    texts_by_key = src.select("doc_id", "key", "text").mapInArrow(released(squeeze), small)
     joined = texts_by_key.join(found, "key", "left").select("doc_id", "packed", "found")
-    return joined.mapInArrow(cut, full)
+    return joined.mapInArrow(released(cut), full)
 
 
 def removed_intervals(docs: DataFrame, width: int = WIDTH, **cols: str) -> DataFrame:
