@@ -12,11 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+BATCH_BYTES, _BATCH_KEY, _BATCH_DEFAULT = "16m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in every Python worker, once per application."""
+    """Make this package importable in every Python worker, once per application.
+
+    Arrow batches are held to ``BATCH_BYTES`` unless the session sets its own bound: a batch is held on both sides of the pipe.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_KEY) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
