@@ -96,12 +96,10 @@ class Merges:
         self.vocab, self.suffix = vocab, suffix
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.none = len(pairs)
-        made: dict[str, tuple[int, str]] = {}
-        for i, (a, b) in enumerate(pairs):
-            # The bound below needs tokens to be older than the rules that use them.
-            if any(x in made and made[x][0] >= i for x in (a, b)) or a + b in made:
-                raise ValueError(f"merge {i} is not built from earlier tokens")
-            made[a + b] = (i, a)
+        made = {a + b: (i, a) for i, (a, b) in enumerate(pairs)}
+        # The bound below needs every token to have one rule, older than the rules that use it.
+        if len(made) < len(pairs) or any(x in made and made[x][0] >= i for i, p in enumerate(pairs) for x in p):
+            raise ValueError("a merge is not built from earlier tokens")
         self.longest = max([1, *map(self.width, made)])
         self.lookahead = self.longest + self._reach(pairs, made)
         self._automaton()
@@ -191,8 +189,6 @@ class Merges:
         return tuple(sorted(own | self._heads.get(head, set()), reverse=True))
 
     def _fits(self, last: str, token: str) -> bool:
-        if token not in self._known:
-            return False
         base = lambda t: [*t[:-2], t[-2] + self.suffix] if self._mark and t.endswith(self._mark) else list(t)
         tokens = self.apply((list(last) if last else []) + base(token))
         return [self._short(t) for t in tokens] == ([last, token] if last else [token])
@@ -200,43 +196,32 @@ class Merges:
     def walk(self, text: str) -> bytes:
         """Ids of one pre-token (its end marked where the merge list marks word ends) as little-endian words."""
         text += self._mark
-        sizes, follows, ids, n = self.sizes, self.follows, self._ids, len(text)
-        at, last, out = 0, "", []
-        while at < n:
-            after = follows[last]
-            for size in sizes[text[at : at + HEAD]]:
-                token = text[at : at + size]
-                if after[token]:
-                    break
-            else:
-                return self._search(text)
-            out.append(ids[token])
-            last = token
-            at += size
-        return b"".join(out)
-
-    def _search(self, text: str) -> bytes:
-        """As walk, with steps back."""
-        sizes, follows, n = self.sizes, self.follows, len(text)
-        at, last, path, dead = 0, "", [], None
-        options = iter(sizes[text[:HEAD]])
+        known, sizes, follows, n = self._known, self.sizes, self.follows, len(text)
+        bare = n - 1 if self._mark else -1  # the mark is no token of its own
+        dead = {bare}
+        path, starts, tried = [], [], []
+        at, last, options, i = 0, "", sizes[text[:HEAD]], 0
         while True:
             after = follows[last]
-            for size in options:
-                token = text[at : at + size]
-                if after[token] and (dead is None or at + size not in dead):
-                    path.append((token, at, last, options))
-                    at += size
-                    if at >= n:
-                        return b"".join([self._ids[p[0]] for p in path])
-                    last, options = token, iter(sizes[text[at : at + HEAD]])
+            while i < len(options):
+                end = at + options[i]
+                i += 1
+                token = text[at:end]
+                if token in known and end not in dead and after[token]:
+                    path.append(token)
+                    if end >= n:
+                        return b"".join(map(self._ids.__getitem__, path))
+                    starts.append(at)
+                    tried.append(i)
+                    at, last, options, i = end, token, sizes[text[end : end + HEAD]], 0
                     break
             else:
-                dead = dead or set()
                 dead.add(at)
                 if not path:
                     raise ValueError(f"no token for {text[:1]!r}")
-                _, at, last, options = path.pop()
+                path.pop()
+                at, i = starts.pop(), tried.pop()
+                last, options = path[-1] if path else "", sizes[text[at : at + HEAD]]
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of a symbol sequence of any length, each as soon as no continuation can change it."""
@@ -316,9 +301,9 @@ class Encoder:
         folded, pieces = self.fold(word), self.pieces
         body = folded[1:] if folded[:1] == " " and not self.folds else folded
         if body.isalpha():  # one pre-token
-            return self._piece(folded)
+            return pieces[folded]
         if body[:-1].isalpha() and body[-1] in self._ends:  # and a mark behind it
-            return self._piece(folded[:-1]) + pieces[body[-1]]
+            return pieces[folded[:-1]] + pieces[body[-1]]
         out = []
         for i, part in enumerate(self.special_pattern.split(word) if "<|" in word else [word]):
             if i % 2:
