@@ -266,7 +266,7 @@ class Encoder:
         self._blank = letters[0x20]
         self._id_bytes = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self._octet = {c: i for i, c in enumerate(letters)}
-        self._blanks, self._ends = regex.compile(r"\s+"), frozenset(".,;:!?")
+        self._blanks, self._ends, self._end_bytes = regex.compile(r"\s+"), frozenset(".,;:!?"), frozenset(b".,;:!?")
         # White space beside a blank decides where pre-tokens end, so such blanks do not part words.
         self._uneven = regex.compile(r" \s|\s ")
         self._token_bytes = None
@@ -363,6 +363,10 @@ class FoldedEncoder(Encoder):
     """An encoder whose words are parted at every ASCII white space; its word table has UTF-8 keys."""
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters alone
+            return self.pieces[word.decode("ascii").lower()]
+        if word[:-1].isalpha() and word[-1] in self._end_bytes:
+            return self.pieces[word[:-1].decode("ascii").lower()] + self.pieces[chr(word[-1])]
         return super()._word(word.decode("utf-8", "replace"))
 
     def encode_bytes(self, text: bytes) -> bytes:
