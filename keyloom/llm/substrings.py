@@ -2,8 +2,8 @@
 
 A window's hash is the polynomial in its words' 64-bit hashes, modulo 2^64; prefix sums give all of a text's at once.
 Readers gather windows into slabs and combine them there: a hash that occurs twice in a slab is repeated, so its places
-are marked at once and it is sent on one time only. A window that a third of all texts share thus reaches its counter
-once a slab, not once a text. The rest travels in packed blocks, one a slab and hash range, about ten bytes a window;
+are marked at once and it is sent on one time only, and not again from the reader's later slabs. A window that a third
+of all texts share thus reaches its counter once a reader, not once a text. The rest travels in packed blocks, one a slab and hash range, about ten bytes a window;
 the number of ranges follows the corpus, so a counter holds about ``RANGE`` hashes. Counters send back the places of
 repeated windows by document. A document's places merge into maximal intervals of removed words.
 
@@ -32,6 +32,8 @@ from .common import SLICE, release, released, texts
 WIDTH = 35
 #: Windows combined by a reader, and hashes held by a counter.
 SLAB, RANGE = 500_000, 3_000_000
+#: Repeated hashes that a reader remembers over its slabs.
+KNOWN = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 16
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -90,12 +92,20 @@ def _unpack_block(block: bytes) -> list[np.ndarray]:
     return out
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 class Slab:
     """Windows of some documents, combined before they are sent."""
 
     def __init__(self, range_bits: int, width: int):
         self.shift, self.width = np.uint64(64 - range_bits), width
         self.ranges = 1 << range_bits
+        self.known = np.empty(0, np.uint64)
         self.clear()
 
     def clear(self) -> None:
@@ -121,10 +131,13 @@ class Slab:
         order = np.argsort(hashes, kind="stable")
         ranked = hashes[order]
         first = np.r_[True, ranked[1:] != ranked[:-1]]
-        single = first & np.r_[first[1:], True]
+        # What this reader has sent as repeated before need not go again, and is repeated wherever it turns up.
+        single = first & np.r_[first[1:], True] & ~_among(ranked, self.known)
         repeated = np.ones(len(hashes), bool)
         repeated[order[single]] = False
         multiple = ranked[first & ~single]
+        multiple = multiple[~_among(multiple, self.known)]
+        self.known = np.insert(self.known, np.searchsorted(self.known, multiple), multiple) if len(self.known) < KNOWN else multiple
         # The order is that of hashes, so of ranges; within a range, places go back to text order.
         alone = np.flatnonzero(~repeated)
         alone = alone[np.argsort(hashes[alone] >> self.shift, kind="stable")]
