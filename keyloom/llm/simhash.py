@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from keyloom.session import discard, materialize
 
-from .common import map_texts
+from .common import map_texts, released
 
 SHINGLE = 4
 RADIUS = 4
@@ -32,6 +32,8 @@ RADIUS = 4
 BLOCKS = 6
 #: Members of one chunk of a hot bucket.
 CELL = 16_384
+#: Tasks among which a hub's edges are dealt.
+SALTS = 8
 #: Hashes whose bits are counted at once.
 _CHUNK = 65_536
 
@@ -126,15 +128,17 @@ def close_edges(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, c
                 u, v = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return lists.mapInArrow(run, "u long, v long").distinct()
+    return lists.mapInArrow(released(run), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node that is not the smallest of its component, by alternating large and small stars.
 
-    A hub's neighbours are never gathered: minima are partial aggregates, joined back. Each round's edges are written to
-    the shared folder, so a lost executor costs one round at most.
+    A hub's neighbours are never gathered: minima are partial aggregates, joined back to edges that are salted by their
+    other end, so a hub's edges spread over ``SALTS`` tasks. Each round's edges are written to the shared folder, so a
+    lost executor costs one round at most.
     """
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
 
     def signature(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
@@ -144,7 +148,8 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        salted = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        large = salted.join(least.withColumn("salt", F.explode(salts)), ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
         after = (
