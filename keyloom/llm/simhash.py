@@ -7,6 +7,12 @@ expanded into pairs: it yields the edges of a spanning forest found by search ov
 one per member. A bucket over ``CELL`` members is dealt into cells holding two chunks each, every pair of chunks once, so
 no task holds a whole hot bucket and no link is lost. Components come from alternating star contractions in Spark.
 
+The pipeline's stage has rules of its own: it links documents whose sets of five-word shingles have a Jaccard similarity of
+``STAGE_SIMILARITY`` or more. Such prints differ in some ten of 64 bits, too many for blocks of a print, so its buckets are
+bands of MinHash values, and a link is verified on the shingle sets themselves. A pair at 0.8 shares no band with probability
+3e-6, one at 0.9 with 4e-13. The first few bands are linked before the others, and of these only buckets that hold more than
+one component are looked at, so a large group of copies crosses the network a few times and not once a band.
+
 Nulls and empty texts have no words: fingerprint zero, linked like any other. A null doc_id keeps its row; it does not
 take part in the minimum that names a component. Repeated rows are returned as often as they occur.
 """
@@ -14,6 +20,8 @@ take part in the minimum that names a component. Repeated rows are returned as o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from functools import cache
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -36,22 +44,33 @@ CELL = 16_384
 SALTS = 8
 #: Hashes whose bits are counted at once.
 _CHUNK = 65_536
+#: The pipeline's stage: words of a shingle, and the least similarity of a link.
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+#: MinHash bands of a document, values in a band, and the bands that are linked first.
+BANDS, BAND, FIRST_BANDS = 32, 5, 4
+#: Members of one chunk of a hot bucket of shingle sets, and shingles whose MinHash values are computed at once.
+SET_CELL, _MIN_CHUNK = 1_024, 2_048
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
-    """64-bit SimHash of one text given as UTF-8."""
+def shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hash of each shingle of one text given as UTF-8; a text of fewer words is one shingle."""
     import xxhash
 
     words = text.lower().split()  # bytes.lower and bytes.split are the ASCII rules asked for
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     flat = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words), initial=-1))
     width = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(flat[a + 1 : b], seed) for a, b in zip(ends, ends[width:])), dtype=np.uint64, count=len(words) - width + 1
-    )
+    return np.fromiter((digest(flat[a + 1 : b], seed) for a, b in zip(ends, ends[width:])), dtype=np.uint64, count=len(words) - width + 1)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
+    """64-bit SimHash of one text given as UTF-8."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return 0
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         octets = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
@@ -101,6 +120,13 @@ def spanning_edges(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray
     return (np.concatenate(members), np.concatenate(roots)) if members else (none, none)
 
 
+def _cells(member: str, cell: int) -> F.Column:
+    """Cells of a bucket of ``n`` members that one member is dealt to: its chunk with every chunk."""
+    chunks = F.ceil(F.col("n") / cell).cast("int")
+    chunk = F.pmod(F.xxhash64(member), chunks).cast("int")
+    return F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(j, chunk).alias("a"), F.greatest(j, chunk).alias("b")))
+
+
 def close_edges(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
     """Distinct (u, v), u > v: within each bucket, a spanning forest of the links at ``radius`` or fewer bits.
 
@@ -110,12 +136,7 @@ def close_edges(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, c
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])
     keyed = prints.select("fp", F.explode(keys).alias("key")).select("key.k", "key.bits", "fp")
     crowded = keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / cell).cast("int")
-    chunk = F.pmod(F.xxhash64("fp"), chunks).cast("int")
-    cells = F.transform(
-        F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(j, chunk).alias("a"), F.greatest(j, chunk).alias("b"))
-    )
-    dealt = keyed.join(crowded, ["k", "bits"]).select("k", "bits", "fp", F.explode(cells).alias("cell"))
+    dealt = keyed.join(crowded, ["k", "bits"]).select("k", "bits", "fp", F.explode(_cells("fp", cell)).alias("cell"))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = dealt.repartition(parts, "k", "bits", "cell").groupBy("k", "bits", "cell").agg(F.collect_list("fp").alias("fps")).select("fps")
 
@@ -180,16 +201,142 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def shingle_set(text: bytes, shingle: int = STAGE_SHINGLE) -> np.ndarray:
+    """Sorted distinct shingle hashes."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+@cache
+def _salts() -> np.ndarray:
+    """(mask, odd factor) of each MinHash function."""
+    import xxhash
+
+    return np.array([[xxhash.xxh64_intdigest(b"minhash", 2 * i + j) | j for j in (0, 1)] for i in range(BANDS * BAND)], np.uint64)
+
+
+def band_keys(members: np.ndarray) -> np.ndarray:
+    """One key a band of MinHash values of a shingle set; none of an empty set."""
+    import xxhash
+
+    if not len(members):
+        return np.empty(0, np.int64)
+    salts = _salts()
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
+    for at in range(0, len(members), _MIN_CHUNK):
+        part = members[at : at + _MIN_CHUNK]
+        np.minimum(least, ((part[None, :] ^ salts[:, :1]) * salts[:, 1:]).min(axis=1), out=least)
+    rows = least.reshape(BANDS, BAND)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def similar_links(nodes: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) of a spanning forest of the pairs of sets with this Jaccard similarity or more; roots are smallest."""
+    share = Fraction(str(similarity))
+    order = np.unique(nodes, return_index=True)[1]
+    nodes, sets = nodes[order], [sets[i] for i in order]
+    sizes = np.array([len(x) for x in sets])
+    left = np.arange(len(nodes))
+    members, roots = [], []
+    while len(left) > 1:
+        root, left = left[0], left[1:]
+        queue = [root]
+        while queue and len(left):
+            one = sets[queue.pop()]
+            some = sizes[left]
+            fits = left[(np.minimum(some, len(one)) * share.denominator >= np.maximum(some, len(one)) * share.numerator)]
+            if not len(fits):
+                continue
+            flat = np.concatenate([sets[i] for i in fits])
+            at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+            starts = np.concatenate([[0], np.cumsum(sizes[fits])[:-1]])
+            both = np.add.reduceat((one[at] == flat).astype(np.int64), starts)
+            found = fits[both * share.denominator >= (sizes[fits] + len(one) - both) * share.numerator]
+            if len(found):
+                left = left[~np.isin(left, found)]
+                queue.extend(found)
+                members.append(nodes[found])
+                roots.append(np.full(len(found), nodes[root]))
+    none = np.empty(0, np.int64)
+    return (np.concatenate(members), np.concatenate(roots)) if members else (none, none)
+
+
+def similar_edges(buckets: DataFrame, sets: DataFrame, similarity: float, cell: int) -> DataFrame:
+    """Distinct (u, v), u > v: within each bucket, a spanning forest of the links at ``similarity`` or more.
+
+    ``buckets`` has (key, node, n), ``sets`` has (node, members). A bucket's rows follow each other and are held one
+    cell at a time.
+    """
+    dealt = buckets.select("key", "node", F.explode(_cells("node", cell)).alias("cell")).join(sets, "node").select("key", "cell.a", "cell.b", "node", "members")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = dealt.repartition(parts, "key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges() -> pa.RecordBatch:
+            u, v = similar_links(np.array(nodes, np.int64), held, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        now, nodes, held = None, [], []
+        for batch in batches:
+            lists = batch.column(4)
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()  # sorted as such
+            names = batch.column(3).to_numpy(zero_copy_only=False)
+            for i, at in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+                if at != now:
+                    if len(nodes) > 1:
+                        yield edges()
+                    now, nodes, held = at, [], []
+                nodes.append(names[i])
+                held.append(flat[offsets[i] : offsets[i + 1]].copy())
+        if len(nodes) > 1:
+            yield edges()
+
+    return ordered.mapInArrow(released(run), "u long, v long").distinct()
+
+
+def _similar_roots(small: DataFrame, prints: DataFrame, shingle: int, similarity: float, cell: int) -> DataFrame:
+    """(u, root) of the nodes (different shingle sets) that are linked to a smaller one."""
+    distinct = materialize(prints.groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key")), "distinct")
+    keyed = lambda low, n: distinct.select("node", F.explode(F.slice("bands", low + 1, n)).alias("key"))
+    crowded = keyed(0, BANDS).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    near = keyed(0, BANDS).join(crowded, "key", "left_semi").select("node").distinct()
+    wanted = distinct.select("node", "key").join(near, "node", "left_semi").select(F.col("key").alias("row"), "node")
+    chosen = small.join(wanted, small["doc_id.key"] == wanted["row"]).select(F.col("node").alias("doc_id"), "text")
+
+    def members(batch: list[bytes]) -> list[list]:
+        return [[shingle_set(t, shingle).view(np.int64) for t in batch]]
+
+    # Rows that are equal in id and text have the same node: one of them is enough.
+    sets = materialize(map_texts(chosen.dropDuplicates(["doc_id"]), "members array<long>", members).withColumnRenamed("doc_id", "node"), "sets")
+    nodes = sets.select("node")
+    first = keyed(0, FIRST_BANDS).join(nodes, "node", "left_semi")
+    full = first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    edges = materialize(similar_edges(first.join(full, "key"), sets, similarity, cell), "links")
+    roots = materialize(components(edges), "roots")
+    rest = keyed(FIRST_BANDS, BANDS).join(nodes, "node", "left_semi").join(roots, F.col("node") == F.col("u"), "left")
+    rest = rest.select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key", "n")
+    more = similar_edges(rest.select("key", "node").join(mixed, "key"), sets, similarity, cell)
+    return components(roots.select("u", F.col("root").alias("v")).union(more).distinct())
+
+
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, cell: int = SET_CELL) -> DataFrame:
     """The rows of ``docs``, all columns, of one document a component: that with the smallest id, null ids last.
 
-    Rows are known by a hash of id and text; of rows equal in both, one stays.
+    Documents are linked if their shingle sets have ``similarity`` or more. Rows are known by a hash of id and text; of
+    rows equal in both, one stays.
     """
+    import xxhash
+
     key = next(f"key{i}" for i in range(len(docs.columns) + 1) if f"key{i}" not in docs.columns)
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     small = keyed.select(F.struct(F.col("doc_id").alias("id"), F.col(key).alias("key")).alias("doc_id"), "text")
-    prints = materialize(fingerprints(small, shingle).select("doc_id.id", "doc_id.key", "fp"), "prints")
-    named = _roots(prints.select(F.col("id").alias("doc_id"), "fp"), radius, blocks)
+
+    def rows(batch: list[bytes]) -> list[list]:
+        sets = [shingle_set(t, shingle) for t in batch]
+        return [np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64), [band_keys(x) for x in sets]]
+
+    prints = materialize(map_texts(small, "node long, bands array<long>", rows).select("doc_id.id", "doc_id.key", "node", "bands"), "prints")
+    roots = _similar_roots(small, prints, shingle, similarity, cell)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
-    kept = prints.join(named, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.key").alias(key))
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    firsts = prints.select("id", "key", "node").join(roots, F.col("node") == F.col("u"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(first.alias("first"))
+    return keyed.join(firsts.select(F.col("first.key").alias(key)), key, "left_semi").dropDuplicates([key]).drop(key)

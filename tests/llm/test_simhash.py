@@ -106,3 +106,41 @@ def test_keep_one_keeps_one_row_of_each_component(docs):
     assert kept.columns == docs.columns
     assert kept.count() == len(set(brute_components([brute_print(r["text"]) for r in docs.collect()])))
     assert {r["doc_id"] for r in kept.collect()} >= {4, 5, 6}
+
+
+def jaccard(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+@pytest.mark.parametrize("cell", [simhash.SET_CELL, 4])
+def test_stage_links_at_similarity_of_point_eight(spark, cell):
+    """Copies with a few words changed differ in far more than four bits; those at 0.8 or more go, others stay."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(200)]
+        for changed in (0, 1, 2, 3, 4, 5, 6, 8, 12):
+            copy = list(base)
+            for i in range(changed):
+                copy[(i * 200 + 100) // changed] = word()
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n = len(texts)
+    pairs = [(i, j) for i in range(n) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    prints = [brute_print(t) for t in texts]
+    assert sum((prints[i] ^ prints[j]).bit_count() > 4 for i, j in pairs) > len(pairs) / 2
+    parent = list(range(n))
+    for _ in range(n):
+        for i, j in pairs:
+            parent[i] = parent[j] = min(parent[i], parent[j])
+    kept = {r["doc_id"] for r in simhash.keep_one(docs, cell=cell).collect()}
+    assert kept == set(parent) and 12 < len(kept) < n
+
+
+def test_similarity_is_exact_at_the_bound():
+    a = np.arange(10, dtype=np.int64)
+    for b, linked in ((np.arange(8), True), (np.arange(7), False), (np.arange(1, 11), True), (np.arange(2, 12), False)):
+        members, _ = simhash.similar_links(np.array([5, 3]), [a, b.astype(np.int64)], 0.8)
+        assert len(members) == linked
