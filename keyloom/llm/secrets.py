@@ -3,11 +3,12 @@
 Places come from the texts between matches: what a pattern splits off, and what it matches, alternate, so their lengths
 add up to every match's start. All places count code points, ends are exclusive.
 
-The battery looks at long unbroken tokens outside the base spans. It infers the encoding (hexadecimal, base32, base64),
-maps characters to digits of that base and tests three ways in which text differs from random digits: chi-squared
+The battery looks at long unbroken tokens outside the base spans. It infers the encoding from the characters present
+(hexadecimal, base32 and base36 in either case, base62, base64: the first alphabet that has them all), maps characters to digits of that base and tests three ways in which text differs from random digits: chi-squared
 uniformity over the alphabet, runs above and below its middle, and correlation of neighbours. A token that any test
 rejects is no secret. A token that passes is one only with evidence against prose: the likelihood ratio of uniform digits
-to a fixed character model of text. That ratio has mean 1 at most for prose, so it is an e-value; it grows with length.
+to a fixed character model of text. That ratio has mean 1 at most for prose, and is divided by the number of alphabets as
+the token chooses among them, so it is an e-value; it grows with length.
 Within each class of lengths the step-up rule for e-values over all tokens of the corpus keeps the false discovery rate
 at ``FDR`` whatever the dependence. Only a histogram of evidence by length class comes to the driver.
 
@@ -32,8 +33,14 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 ALPHABETS = {
     16: "0123456789abcdef",
     32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    36: "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    62: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+#: Which tokens an alphabet writes, smallest alphabet first; any other is base64.
+ENCODINGS = ((16, "^([0-9a-f]+|[0-9A-F]+)$"), (32, "^([a-z2-7]+|[A-Z2-7]+)$"), (36, "^([a-z0-9]+|[A-Z0-9]+)$"), (62, "^[A-Za-z0-9]+$"))
+#: Alphabets a token can be taken for: the four above in both cases but the last, and base64.
+CHOICES = 8
 #: Length classes of tokens, levels of the tests and of the false discovery rate.
 LENGTHS, TEST_LEVEL, FDR = (32, 48, 96), 0.003, 0.01
 #: What share of prose characters each class has, and the class's size (fixed values).
@@ -75,15 +82,30 @@ def _tail(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * F.exp(-x * x / 2) / (1.64 * x + F.sqrt(0.76 * x * x + 4)))
 
 
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _battery(token: Column) -> Column:
     """(encoding, p, evidence) of one token: least corrected p-value of the tests, and log10 of the e-value."""
-    encoding = F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), 16).when(token.rlike("^[A-Z2-7]+$"), 32).otherwise(64)
-    plain = F.when(encoding == 16, F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
-    alphabet = F.when(encoding == 16, ALPHABETS[16]).when(encoding == 32, ALPHABETS[32]).otherwise(ALPHABETS[64])
+    encoding, alphabet = F.lit(64), F.lit(ALPHABETS[64])
+    for size, pattern in reversed(ENCODINGS):
+        fits = token.rlike(pattern)
+        encoding, alphabet = F.when(fits, size).otherwise(encoding), F.when(fits, F.lit(ALPHABETS[size])).otherwise(alphabet)
+    chosen = F.struct(encoding.alias("encoding"), alphabet.alias("alphabet"), token.alias("token"))
+
+    def digits(c: Column) -> Column:
+        case = F.when(c["encoding"] == 16, F.lower(c["token"])).when(c["encoding"] <= 36, F.upper(c["token"])).otherwise(F.translate(c["token"], "-_", "+/"))
+        found = F.transform(F.split(case, ""), lambda x: (F.instr(c["alphabet"], x) - 1).cast("double"))
+        return _with(F.filter(found, lambda d: d >= 0), lambda ds: _tests(c["token"], c["encoding"], ds))
+
+    return _with(chosen, digits)
+
+
+def _tests(token: Column, encoding: Column, digits: Column) -> Column:
     n = F.length(token).cast("double")
     k = encoding.cast("double")
-    digits = F.transform(F.split(plain, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
-    digits = F.filter(digits, lambda d: d >= 0)
     add = lambda a, b: a + b
     total = lambda xs: F.aggregate(xs, F.lit(0.0), add)
     # Uniformity: k/n times the sum of squared counts, less n; a cube-root transform makes it normal.
@@ -110,7 +132,7 @@ def _battery(token: Column) -> Column:
     z_serial = (total(pairs) / square + 1 / n) * F.sqrt(n)
     # Too many of one character speaks against randomness; too even a spread does not.
     p = 3 * F.least(_tail(F.greatest(z_chi, F.lit(0.0))), _tail(z_runs), _tail(z_serial))
-    evidence = -n * F.log10(k)
+    evidence = -n * F.log10(k) - math.log10(CHOICES)
     for characters, share, size in PROSE:
         evidence = evidence - F.length(F.regexp_replace(token, "[^" + characters[1:], "")) * math.log10(share / size)
     return F.struct(encoding.alias("encoding"), p.alias("p"), evidence.alias("evidence"))

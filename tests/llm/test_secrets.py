@@ -109,3 +109,27 @@ def test_step_up_rule(spark):
 def test_plan_has_no_python(spark):
     plan = op5_secrets(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+ENCODED = {
+    "lower base32": ("abcdefghijklmnopqrstuvwxyz234567", 32),
+    "upper base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32),
+    "base36": ("abcdefghijklmnopqrstuvwxyz0123456789", 36),
+    "upper base36": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 36),
+    "base62": (secrets.ALPHABETS[64][:62], 62),
+    "base64": (secrets.ALPHABETS[64], 64),
+}
+
+
+@pytest.mark.parametrize("name", ENCODED)
+def test_battery_finds_long_tokens_of_every_alphabet(spark, name):
+    """Each token is tested over its own alphabet: long ones are found, and the level holds."""
+    letters, size = ENCODED[name]
+    rnd = random.Random(size)
+    tokens = ["".join(rnd.choice(letters) for _ in range(96)) for _ in range(60)]
+    frame = spark.createDataFrame([(i, f"some prose {t} and more", t) for i, t in enumerate(tokens)], "doc_id long, text string, token string")
+    tested = frame.select(secrets._battery(F.col("token")).alias("b")).collect()
+    assert max(r["b"]["encoding"] for r in tested) == size  # a token may lack the characters that only its alphabet has
+    assert sum(r["b"]["p"] < 0.05 for r in tested) < 12
+    found = secrets.find_secrets(frame).collect()
+    assert sum(any(k == 3 and (a, b) == (11, 107) for a, k, b in r["spans"]) for r in found) >= 57
