@@ -63,6 +63,11 @@ def by_explosion(records: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 
 
 def by_blocks(records: DataFrame, divisor: int = DIVISOR, block: int = 8) -> DataFrame:
+    return drop_shorter_equals(significant(records, divisor, block))
+
+
+def significant(records: DataFrame, divisor: int = DIVISOR, block: int = 8) -> DataFrame:
+    """Every significant prefix, shorter ones with the same keys included."""
     spark = records.sparkSession
     least = threshold(records.agg(F.sum("rdb_size")).first()[0] or 0, divisor)
     found: list[tuple] = []
@@ -77,7 +82,7 @@ def by_blocks(records: DataFrame, divisor: int = DIVISOR, block: int = 8) -> Dat
         found += [(r["prefix"], r["total_size"], r["key_count"]) for r in sums]
         frontier = [bytes(r["prefix"]) for r in sums if len(r["prefix"]) == low + block - 1]
         low += block
-    return drop_shorter_equals(spark.createDataFrame(found, PREFIX_SCHEMA))
+    return spark.createDataFrame(found, PREFIX_SCHEMA)
 
 
 def by_descent(records: DataFrame, divisor: int = DIVISOR) -> DataFrame:

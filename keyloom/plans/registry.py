@@ -214,7 +214,7 @@ def top_prefixes_descent(spark, sf_dir):
 
 @query("SELECT * FROM found", _PREFIXES)
 def prefix_nested_dedupe(spark, sf_dir):
-    return _shown(prefixes.deduplicate_nested(prefixes.by_blocks(records(spark, sf_dir))).select("prefix", "total_size", "key_count"))
+    return _shown(prefixes.deduplicate_nested(prefixes.significant(records(spark, sf_dir))).select("prefix", "total_size", "key_count"))
 
 
 @query(

@@ -94,3 +94,13 @@ def test_plans(spark):
     narrow = plan(frame.where("db = 1").select("rdb_size"))
     assert "EqualTo(l_suppkey,1)" in narrow and "l_returnflag" not in narrow
     assert "TakeOrderedAndProject" in plan(frame.orderBy(F.desc("rdb_size")).limit(100))
+
+
+def test_nested_dedupe_query_has_prefixes_to_drop(spark, monkeypatch):
+    """The query's operator gets chains of prefixes with the same keys, not the list that has none left."""
+    from keyloom.plans import registry
+
+    given, plain = [], prefixes.deduplicate_nested
+    monkeypatch.setattr(prefixes, "deduplicate_nested", lambda found: given.append(found) or plain(found))
+    left = registry.queries()["prefix_nested_dedupe"](spark, "/root/testdata/sf0.001")
+    assert given[0].count() > left.count() > 0
