@@ -1,0 +1,99 @@
+"""Ids of the tokenizer library for whole texts, asked for words that were not seen before only.
+
+For vocabularies that drop white space: a text is cut at ASCII white space, words that are known come from a bounded table,
+and all new words of a batch of texts go to the library together. Words of letters and marks behind them are cut in two, and
+new pieces travel as one long text: each is one pre-token, whose last id alone has the word-end mark, so the ids part again.
+"""
+
+from __future__ import annotations
+
+import json
+from functools import lru_cache
+
+import numpy as np
+
+from .bpe import TABLE_BYTES, TABLE_WORDS
+
+#: Words that are sent to the library as one text.
+JOINED = 2_000
+#: ASCII marks that are no part of a contraction: a run of them is one pre-token.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class LibraryIds:
+    """Little-endian 32-bit ids of texts, as the library gives them without special tokens around them."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
+        if not suffix:
+            raise ValueError("white space is part of this vocabulary's tokens")
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        """Ids of runs of letters, and of runs of marks."""
+        parts = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
+        for part, ids in zip(parts, self._ask([" ".join(p) for p in parts])):
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(part):
+                flat, cuts = ids.tobytes(), [0, *cuts.tolist()]
+                self.pieces.update(zip(part, [flat[a:b] for a, b in zip(cuts, cuts[1:])]))
+            else:  # the library does not take one of these characters for a letter
+                self.pieces.update(zip(part, [i.tobytes() for i in self._ask(part)]))
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, bodies, tails, other = [], [], [], []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            body = text.rstrip(_MARKS)
+            if (body.isalpha() or not body) and b"<|" not in word:
+                plain.append(word)
+                bodies.append(body.lower() if body.isascii() else body)
+                tails.append(text[len(body) :])
+            else:
+                other.append(word)
+        pieces = self.pieces
+        self._learn_pieces(list({*bodies, *tails}.difference(pieces, ("",))))
+        pieces[""] = b""
+        words = self.words
+        words.update(zip(plain, [pieces[b] + pieces[t] for b, t in zip(bodies, tails)]))
+        words.update(zip(other, [ids.tobytes() for ids in self._ask([w.decode("utf-8", "replace") for w in other])]))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. Long words are not kept, and a full table starts anew, with the words in use."""
+        split = [t.split() for t in texts]
+        wanted = set().union(*split)
+        words = self.words
+        new = list(wanted.difference(words))
+        if len(words) + len(new) > 2 * TABLE_WORDS:
+            self.words = words = {w: words[w] for w in wanted if w in words}
+            self.pieces.clear()
+        self._learn(new)
+        out = [b"".join(map(words.__getitem__, s)) for s in split]
+        for word in new:
+            if len(word) > TABLE_BYTES:
+                del words[word]
+        for piece in [p for p in self.pieces if len(p) > TABLE_BYTES] if any(len(w) > TABLE_BYTES for w in new) else ():
+            del self.pieces[piece]
+        return out
+
+
+@lru_cache(maxsize=4)
+def library_ids(path: str) -> LibraryIds:
+    """One table a file in each Python worker."""
+    return LibraryIds(path)
