@@ -2,34 +2,35 @@
 
 Merges apply in rank order, and a rule only joins tokens that earlier rules made. So what follows a prefix can change the
 prefix's tokens only through a chain of rules of growing rank, each reaching one left operand further to the left.
-``sufficient_lookahead`` bounds the reach of every such chain from the merge list. Symbols further from the end of what
-was read than that bound have their final tokens: the transducer emits them and keeps only the rest, whatever the length
-of the input. Pre-tokens are found by the tokenizer's own pattern; a pre-token longer than the window is streamed.
-
-Transitions over whole space-delimited words are compiled on first use and kept in a bounded table, so frequent words
-cost one lookup. The vocabulary file is a parameter; nothing is trained.
+``Merges.lookahead`` bounds the reach of every such chain from the merge list: symbols further from the end of what was
+read have their final tokens. :mod:`keyloom.llm.transducer` holds no more than these symbols in its states, emits every token
+as soon as no continuation can change it, and is the only path from text to ids, for texts of any length.
+
+Texts are read in blocks: stretches that no pre-token crosses are folded and cut into pre-tokens by the file's own pattern,
+their bytes become symbols, and the state is carried from block to block. What is held beside a text is a block, a stretch (as
+long as the longest pre-token, where that is longer) and the bounded table of transitions. Ids leave block by block and are
+decoded at once. The vocabulary file is a parameter; nothing is trained.
 """
 
 from __future__ import annotations
 
 import codecs
 import hashlib
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_texts
+from .transducer import BLOCK, END, SPECIAL, Pairs, Transducer
 
 #: Words kept per table generation, and the longest word kept.
 TABLE_WORDS, TABLE_BYTES = 300_000, 80
-#: Characters that choose the candidate tokens at a place.
-HEAD = 4
+#: Characters of a stretch, at least, unless the text ends.
+STRETCH = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -63,46 +64,17 @@ class WordTable(dict):
         return value
 
 
-class Follows(dict):
-    """Which token may follow which, found on first use; bounded."""
-
-    def __init__(self, fits, limit: int = 1_000_000):
-        super().__init__()
-        self._fits, self._limit, self.count = fits, limit, 0
-
-    def __missing__(self, last):
-        if self.count > self._limit:
-            self.clear()
-            self.count = 0
-        own = self[last] = _After(self, last)
-        return own
-
-
-class _After(dict):
-    def __init__(self, table: Follows, last: str):
-        super().__init__()
-        self._table, self._last = table, last
-
-    def __missing__(self, token):
-        self._table.count += 1
-        known = self[token] = self._table._fits(self._last, token)
-        return known
-
-
 class Merges:
     """A merge list over symbols, with the lookahead that suffices for it."""
 
     def __init__(self, vocab: dict[str, int], pairs: list[tuple[str, str]], suffix: str = ""):
         self.vocab, self.suffix = vocab, suffix
-        self.rank = {p: i for i, p in enumerate(pairs)}
-        self.none = len(pairs)
         made = {a + b: (i, a) for i, (a, b) in enumerate(pairs)}
         # The bound below needs every token to have one rule, older than the rules that use it.
         if len(made) < len(pairs) or any(x in made and made[x][0] >= i for i, p in enumerate(pairs) for x in p):
             raise ValueError("a merge is not built from earlier tokens")
         self.longest = max([1, *map(self.width, made)])
         self.lookahead = self.longest + self._reach(pairs, made)
-        self._automaton()
 
     def width(self, token: str) -> int:
         """Base symbols of a token; the word end counts with the symbol it marks."""
@@ -128,119 +100,9 @@ class Merges:
             best = max(best, reach)
         return best
 
-    def apply(self, symbols: list[str]) -> list[str]:
-        """Tokens of a whole symbol sequence."""
-        if len(symbols) > 60:
-            return self._apply_heap(symbols)
-        # Ranks stay beside the parts; a merge renews the two that touch it.
-        rank, parts, none = self.rank.get, list(symbols), self.none
-        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
-        while ranks and (least := min(ranks)) != none:
-            i = ranks.index(least)
-            parts[i] += parts.pop(i + 1)
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
-            if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), none)
-        return parts
-
-    def _apply_heap(self, symbols: list[str]) -> list[str]:
-        rank, parts, n = self.rank, list(symbols), len(symbols)
-        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
-        heap = [(rank[p], i, p) for i, p in enumerate(zip(parts, parts[1:])) if p in rank]
-        heapq.heapify(heap)
-        while heap:
-            _, i, pair = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] != pair[0] or j >= n or parts[j] != pair[1]:
-                continue
-            parts[i], parts[j], after[i] = pair[0] + pair[1], "", after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y < n and (p := (parts[x], parts[y])) in rank:
-                    heapq.heappush(heap, (rank[p], x, p))
-        return [p for p in parts if p]
-
-    # A sequence of tokens is what the merges give exactly if each token and each adjacent pair is. So a text's tokens
-    # are a path of an automaton whose state is the last token: longest candidates first, and a place from which no path
-    # goes on is never entered again.
-
-    def _automaton(self) -> None:
-        self._mark = "\0" if self.suffix else ""
-        names = [self._short(t) for t in self.vocab]
-        self._known = set(names)
-        self._ids = {self._short(t): i.to_bytes(4, "little") for t, i in self.vocab.items()}
-        heads: dict[str, set[int]] = {}
-        for t in names:
-            if len(t) > HEAD:
-                heads.setdefault(t[:HEAD], set()).add(len(t))
-        self._heads = heads
-        self.sizes = WordTable(self._sizes)
-        self.follows = Follows(self._fits)
-
-    def _short(self, token: str) -> str:
-        return token[: -len(self.suffix)] + self._mark if self.suffix and token.endswith(self.suffix) else token
-
-    def _sizes(self, head: str) -> tuple[int, ...]:
-        """Lengths of the tokens that may start where the text goes on with ``head``, longest first."""
-        own = {k for k in range(1, len(head) + 1) if head[:k] in self._known}
-        return tuple(sorted(own | self._heads.get(head, set()), reverse=True))
-
-    def _fits(self, last: str, token: str) -> bool:
-        base = lambda t: [*t[:-2], t[-2] + self.suffix] if self._mark and t.endswith(self._mark) else list(t)
-        tokens = self.apply((list(last) if last else []) + base(token))
-        return [self._short(t) for t in tokens] == ([last, token] if last else [token])
-
-    def walk(self, text: str) -> bytes:
-        """Ids of one pre-token (its end marked where the merge list marks word ends) as little-endian words."""
-        text += self._mark
-        known, sizes, follows, n = self._known, self.sizes, self.follows, len(text)
-        bare = n - 1 if self._mark else -1  # the mark is no token of its own
-        dead = {bare}
-        path, starts, tried = [], [], []
-        at, last, options, i = 0, "", sizes[text[:HEAD]], 0
-        while True:
-            after = follows[last]
-            while i < len(options):
-                end = at + options[i]
-                i += 1
-                token = text[at:end]
-                if token in known and end not in dead and after[token]:
-                    path.append(token)
-                    if end >= n:
-                        return b"".join(map(self._ids.__getitem__, path))
-                    starts.append(at)
-                    tried.append(i)
-                    at, last, options, i = end, token, sizes[text[end : end + HEAD]], 0
-                    break
-            else:
-                dead.add(at)
-                if not path:
-                    raise ValueError(f"no token for {text[:1]!r}")
-                path.pop()
-                at, i = starts.pop(), tried.pop()
-                last, options = path[-1] if path else "", sizes[text[at : at + HEAD]]
-
-    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """Tokens of a symbol sequence of any length, each as soon as no continuation can change it."""
-        window, held = 3 * self.lookahead, []
-        for symbol in symbols:
-            held.append(symbol)
-            if len(held) >= window:
-                done = 0
-                for token in self.apply(held):
-                    if done + (w := self.width(token)) > len(held) - self.lookahead:
-                        break
-                    done += w
-                    yield token
-                held = held[done:]
-        yield from self.apply(held)
-
 
 class Encoder:
-    """A tokenizer file's encoder and decoder for whole texts, one word transition at a time."""
+    """A tokenizer file's encoder and decoder for whole texts."""
 
     def __init__(self, path: str):
         import regex
@@ -250,8 +112,8 @@ class Encoder:
         model = spec["model"]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.merges = Merges(model["vocab"], pairs, self.suffix)
         self.vocab = model["vocab"]
+        self.merges = Merges(self.vocab, pairs, self.suffix)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("only plain added tokens are known here")
@@ -261,32 +123,23 @@ class Encoder:
         # A split step names its pattern; the byte-level step alone stands for the following one (fixed value).
         split = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), None)
         self.pattern = regex.compile(split or r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        letters = byte_alphabet()
-        self._letters = {i: c for i, c in enumerate(letters)}
-        self._blank = letters[0x20]
-        self._id_bytes = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
-        self._octet = {c: i for i, c in enumerate(letters)}
-        self._blanks, self._ends, self._end_bytes = regex.compile(r"\s+"), frozenset(".,;:!?"), frozenset(b".,;:!?")
-        # White space beside a blank decides where pre-tokens end, so such blanks do not part words.
-        self._uneven = regex.compile(r" \s|\s ")
+        self._blanks = regex.compile(r"\s+")
+        # Always a pre-token's start: any ASCII white space where it is dropped, else a blank without white space beside it.
+        self._safe = regex.compile(r"[ \t\n\r\x0b\x0c]" if self.folds else r"(?<=\S) (?=\S)")
+        self.machine = self._compiled(pairs)
         self._token_bytes = None
-        self.pieces = WordTable(self._piece)
-        self.words = WordTable(self._word)
 
-    # Encoding
+    def _compiled(self, pairs: list[tuple[str, str]]) -> Transducer:
+        octet = {c: i for i, c in enumerate(byte_alphabet())}
+        inner: dict[bytes, int] = {}
+        last = {} if self.suffix else inner
+        for token, i in self.vocab.items():
+            if token not in self.special:
+                ends = bool(self.suffix) and token.endswith(self.suffix)
+                (last if ends else inner)[bytes(octet[c] for c in (token[: -len(self.suffix)] if ends else token))] = i
+        return Transducer(inner, last, Pairs(pairs, self.vocab), list(self.special.values()))
 
-    def _letters_of(self, piece: str) -> str:
-        if piece.isascii() and piece.isprintable():
-            return piece.replace(" ", self._blank)
-        return piece.encode().decode("latin-1").translate(self._letters)
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of one pre-token as little-endian words."""
-        letters = self._letters_of(piece)
-        if len(letters) <= self.merges.lookahead:
-            return self.merges.walk(letters)
-        symbols = chain(letters[:-1], [letters[-1] + self.suffix])
-        return b"".join(map(self._id_bytes.__getitem__, self.merges.stream(symbols)))
+    # Encoding
 
     def fold(self, text: str) -> str:
         """The file's normalizer: composed form, one blank for white space, lower case by code point."""
@@ -296,113 +149,157 @@ class Encoder:
             text = self._blanks.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
         return text.lower()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a stretch that no pre-token crosses, special tokens included."""
-        folded, pieces = self.fold(word), self.pieces
-        body = folded[1:] if folded[:1] == " " and not self.folds else folded
-        if body.isalpha():  # one pre-token
-            return pieces[folded]
-        if body[:-1].isalpha() and body[-1] in self._ends:  # and a mark behind it
-            return pieces[folded[:-1]] + pieces[body[-1]]
-        out = []
-        for i, part in enumerate(self.special_pattern.split(word) if "<|" in word else [word]):
+    def _stretches(self, text: str, size: int = STRETCH) -> Iterator[str]:
+        """The text in parts that no pre-token crosses."""
+        at = 0
+        while at < len(text):
+            cut = self._safe.search(text, at + size)
+            end = cut.start() if cut else len(text)
+            yield text[at:end]
+            at = end
+
+    def _symbols(self, text: str) -> Iterator[np.ndarray]:
+        """Symbols of a stretch."""
+        numbers = list(self.special)
+        for i, part in enumerate(self.special_pattern.split(text) if "<|" in text else (text,)):
             if i % 2:
-                out.append(self.special[part].to_bytes(4, "little"))
-            elif part:
-                out.extend([pieces[p] for p in self.pattern.findall(self.fold(part))])
-        return b"".join(out)
-
-    def _stretches(self, text: str) -> list[str]:
-        """The text cut before each blank that has no white space beside it: always a pre-token's start."""
-        if self.folds:
-            return text.encode().split()  # ASCII white space is in no pre-token here
-        parts = text.split(" ")
-        first = parts[0]
-        if not self._uneven.search(text) and first and not text[-1].isspace():
-            return [first, *[" " + p for p in parts[1:]]]
-        out, open_ = [], first
-        for p in parts[1:]:
-            if open_ and p and not open_[-1].isspace() and not p[0].isspace():
-                out.append(open_)
-                open_ = " " + p
-            else:
-                open_ += " " + p
-        return [*out, open_]
-
-    def encode_parts(self, text: str) -> Iterator[bytes]:
-        """The ids of a text in order, as little-endian 32-bit words, stretch by stretch."""
-        return map(self.words.__getitem__, self._stretches(text))
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.encode_parts(text))
+                yield np.array([SPECIAL + numbers.index(part)], np.int16)
+            elif pieces := self.pattern.findall(self.fold(part)):
+                octets = np.frombuffer("".join(pieces).encode(), np.uint8)
+                ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+                if ends[-1] < len(octets):  # characters to bytes
+                    ends = np.append(np.flatnonzero((octets & 0xC0) != 0x80), len(octets))[ends]
+                symbols = octets.astype(np.int16)
+                symbols[ends - 1] += END
+                yield symbols
+
+    def _blocks(self, texts: Iterable[str], size: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+        """Symbols of at most two blocks' length, and up to where they belong to which text."""
+        held, marks, n = [], [], 0
+        for number, text in enumerate(texts):
+            for stretch in self._stretches(text):
+                for symbols in self._symbols(stretch):
+                    for at in range(0, len(symbols), size):
+                        held.append(symbols[at : at + size])
+                        n += len(held[-1])
+                        marks.append((number, n))
+                        if n >= size:
+                            yield np.concatenate(held), marks
+                            held, marks, n = [], [], 0
+        if n:
+            yield np.concatenate(held), marks
+
+    def _runs(self, texts: Iterable[str], size: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+        """Edges of each block, with its marks."""
+        machine, state = self.machine, 0
+        for symbols, marks in self._blocks(texts, size):
+            if machine.full():
+                state = machine.clear(machine.states[state])
+            edges, state = machine.run(symbols, state)
+            yield edges, marks
+
+    def encode_parts(self, texts: Iterable[str], size: int = BLOCK) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
+        """(ids, marks) block by block: a mark (k, n) says that ids up to the n-th, from the previous mark on, are of text k."""
+        for edges, marks in self._runs(texts, size):
+            ids, sizes = self.machine.emitted(edges)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            yield ids, [(number, int(ends[end - 1])) for number, end in marks]
+
+    def count(self, texts: list[str], size: int = BLOCK) -> np.ndarray:
+        """Tokens of each text, from the counts that transitions are annotated with."""
+        out = np.zeros(len(texts), np.int64)
+        for edges, marks in self._runs(texts, size):
+            own = np.array(marks)
+            starts = np.r_[0, own[:-1, 1]]
+            np.add.at(out, own[:, 0], np.add.reduceat(self.machine.size[edges], starts))
+        return out
+
+    def encode(self, text: str, size: int = BLOCK) -> bytes:
+        """The ids of a text as little-endian 32-bit words."""
+        return b"".join(ids.astype("<u4").tobytes() for ids, _ in self.encode_parts([text], size))
 
     # Decoding
 
-    def token_bytes(self) -> list[bytes]:
+    def _bytes_of(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes that ids stand for, and where each id's bytes end."""
         if self._token_bytes is None:
+            octet = {c: i for i, c in enumerate(byte_alphabet())}
             known = {**self.vocab, **self.special}
             table = [b""] * (max(known.values()) + 1)
             for token, i in known.items():
-                table[i] = bytes(self._octet[c] for c in token) if token not in self.special else token.encode()
-            self._token_bytes = table
-        return self._token_bytes
+                table[i] = token.encode() if token in self.special else bytes(octet[c] for c in token)
+            sizes = np.array([len(t) for t in table])
+            self._token_bytes = np.frombuffer(b"".join(table), np.uint8), np.cumsum(sizes) - sizes, sizes
+        flat, place, sizes = self._token_bytes
+        own = sizes[ids]
+        ends = np.cumsum(own)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(place[ids] - (ends - own), own)
+        return flat[at].tobytes(), ends
 
     def decode_parts(self, ids: bytes, chunk: int = 1 << 16) -> Iterator[str]:
         """Text as soon as its bytes are complete; ill-formed bytes become U+FFFD."""
-        table = self.token_bytes().__getitem__
         machine = codecs.getincrementaldecoder("utf-8")("replace")
         for at in range(0, len(ids), 4 * chunk):
-            yield machine.decode(b"".join(map(table, np.frombuffer(ids[at : at + 4 * chunk], "<u4").tolist())))
+            yield machine.decode(self._bytes_of(np.frombuffer(ids[at : at + 4 * chunk], "<u4"))[0])
         yield machine.decode(b"", True)
 
     def decode(self, ids: bytes) -> str:
         return "".join(self.decode_parts(ids))
 
 
-class FoldedEncoder(Encoder):
-    """An encoder whose words are parted at every ASCII white space; its word table has UTF-8 keys."""
-
-    def _word(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters alone
-            return self.pieces[word.decode("ascii").lower()]
-        if word[:-1].isalpha() and word[-1] in self._end_bytes:
-            return self.pieces[word[:-1].decode("ascii").lower()] + self.pieces[chr(word[-1])]
-        return super()._word(word.decode("utf-8", "replace"))
-
-    def encode_bytes(self, text: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
-
-
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder a file in each Python worker."""
-    with open(path, encoding="utf-8") as f:
-        folds = json.load(f)["normalizer"] is not None
-    return (FoldedEncoder if folds else Encoder)(path)
+    return Encoder(path)
+
+
+class _Digest:
+    """What is kept of one text while its ids pass by: two hashes, a count, and the decoder's state."""
+
+    def __init__(self):
+        self.ids, self.text, self.n = hashlib.sha256(), hashlib.sha256(), 0
+        self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: np.ndarray, octets: bytes) -> None:
+        self.n += len(ids)
+        self.ids.update(ids.astype("<u4", copy=False))
+        self.text.update(self.decoder.decode(octets).encode())
+
+    def row(self) -> tuple[int, str, str]:
+        self.text.update(self.decoder.decode(b"", True).encode())
+        return self.n, self.ids.hexdigest(), self.text.hexdigest()
+
+
+def digests(bpe: Encoder, texts: list[str], size: int = BLOCK) -> list[tuple[int, str, str]]:
+    """(tokens, hash of the ids, hash of the text decoded from them) of each text; no text's ids are ever held as a whole."""
+    out: list[tuple[int, str, str]] = []
+    open_ = _Digest()
+    for ids, marks in bpe.encode_parts(texts, size):
+        octets, ends = bpe._bytes_of(ids)
+        at = begin = 0
+        for number, end in marks:
+            while len(out) < number:  # the texts before are over
+                out.append(open_.row())
+                open_ = _Digest()
+            stop = int(ends[end - 1]) if end else 0
+            open_.feed(ids[at:end], octets[begin:stop])
+            at, begin = end, stop
+    while len(out) < len(texts):
+        out.append(open_.row())
+        open_ = _Digest()
+    return out
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, **cols: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes): one row per document, null texts as empty ones.
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes): one row per document.
 
-    ``vocabulary`` is a tokenizer file that every executor has at this path.
+    ``vocabulary`` is a tokenizer file that every executor has at this path. Null texts count as empty ones: no tokens, and the
+    hashes of nothing. A text of any length is read in blocks. Repeated rows give repeated rows, an empty table none. Columns
+    beside the two that are read do not matter, also where their names differ from these only in case.
     """
 
     def rows(batch: list[bytes]) -> list[list]:
-        bpe = encoder(vocabulary)
-        n, ids_sha, text_sha = [], [], []
-        for raw in batch:
-            digest, size, ids = hashlib.sha256(), 0, []
-            for part in bpe.encode_parts(raw.decode("utf-8", "replace")):
-                ids.append(part)
-            flat = b"".join(ids)
-            digest.update(flat)
-            size = len(flat) // 4
-            back = hashlib.sha256()
-            for text in bpe.decode_parts(flat):
-                back.update(text.encode())
-            n.append(size)
-            ids_sha.append(digest.hexdigest())
-            text_sha.append(back.hexdigest())
-        return [n, ids_sha, text_sha, [len(t) for t in batch]]
+        made = digests(encoder(vocabulary), [raw.decode("utf-8", "replace") for raw in batch])
+        return [*map(list, zip(*made)), [len(raw) for raw in batch]]
 
     return map_texts(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long", rows, **cols)

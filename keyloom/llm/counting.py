@@ -1,102 +1,30 @@
-"""Token counts by a compiled counting transducer whose chunk maps compose in a parallel prefix scan.
+"""Token counts by a compiled counting transducer whose chunk maps compose in a prefix scan.
 
-The tokenizer is a deterministic transducer between blanks: it starts every word in one state and a blank returns it
-there, so a whole word is one transition of that state, annotated with the number of tokens it emits. Transitions are
-compiled on first use (by the merge automaton of :mod:`keyloom.llm.bpe`) and kept in a bounded table.
-
-A text is cut into chunks anywhere. What a chunk does to each state it may be entered in is its map: entered with a word
-begun by what came before, it ends that word, emits the inside words' counts, and leaves with its own last word begun.
-A map is (head, count, tail), or a single piece where the chunk has no blank. Maps compose associatively, so they are
-made independently and joined by a scan of logarithmic depth. Joining keeps cut words as piece lists: linear work.
+The vocabulary's merge list is compiled to a deterministic transducer (:mod:`keyloom.llm.transducer`): transitions by bytes,
+each annotated with the number of tokens that it emits. White space and pre-tokens' last bytes lead back to the start state.
+A batch of texts is one sequence of symbols, cut into ``LANES`` chunks anywhere. All chunks' maps, from entry state to exit
+state and emitted count, are made side by side and composed from left to right; counting a text is adding up the annotations
+of its transitions. There is one path for all texts, and ids are never made.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame
 
-from .bpe import WordTable, encoder
+from .bpe import encoder
 from .common import map_texts
 
-CHUNK = 1 << 16
-BLANKS = b" \t\n\r\x0b\x0c"
-
-
-class StateMap(NamedTuple):
-    """What a chunk does to the state it is entered in; ``tail`` is None where the chunk has no blank."""
-
-    head: tuple[bytes, ...]
-    count: int
-    tail: tuple[bytes, ...] | None
-
-
-UNIT = StateMap((), 0, None)
-
-
-class CountingTransducer:
-    """Counts of a vocabulary whose pre-tokens never hold ASCII white space."""
-
-    def __init__(self, vocabulary: str):
-        bpe = encoder(vocabulary)
-        if not bpe.folds:
-            raise ValueError("white space is part of this vocabulary's tokens")
-        self.emits = WordTable(lambda word: len(bpe._word(word)) // 4)
-
-    def chunk_map(self, chunk: bytes) -> StateMap:
-        words = chunk.split()
-        if not words:
-            return StateMap((), 0, ()) if chunk else UNIT
-        head = words.pop(0) if chunk[:1] not in BLANKS_SET else b""
-        if head and not words and chunk[-1:] not in BLANKS_SET:
-            return StateMap((head,), 0, None)
-        tail = words.pop() if chunk[-1:] not in BLANKS_SET else b""
-        return StateMap((head,) if head else (), sum(map(self.emits.__getitem__, words)), (tail,) if tail else ())
-
-    def word(self, pieces: tuple[bytes, ...]) -> int:
-        return self.emits[b"".join(pieces)] if pieces else 0
-
-    def compose(self, a: StateMap, b: StateMap) -> StateMap:
-        """First ``a``, then ``b``."""
-        if a.tail is None:
-            return StateMap(a.head + b.head, b.count, b.tail)
-        if b.tail is None:
-            return StateMap(a.head, a.count, a.tail + b.head)
-        return StateMap(a.head, a.count + self.word(a.tail + b.head) + b.count, b.tail)
-
-    def scan(self, maps: list[StateMap]) -> StateMap:
-        """The composition of all maps, by an up-sweep over neighbours."""
-        while len(maps) > 1:
-            paired = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2])]
-            maps = paired + maps[len(paired) * 2 :]
-        return maps[0] if maps else UNIT
-
-    def finish(self, whole: StateMap) -> int:
-        """Tokens emitted from the start state to the end of the text."""
-        return self.word(whole.head) + whole.count + (self.word(whole.tail) if whole.tail else 0)
-
-    def count(self, text: bytes, chunk: int = CHUNK) -> int:
-        if len(text) <= chunk:
-            return sum(map(self.emits.__getitem__, text.split()))
-        return self.finish(self.scan([self.chunk_map(text[i : i + chunk]) for i in range(0, len(text), chunk)]))
-
-
-BLANKS_SET = frozenset([BLANKS[i : i + 1] for i in range(len(BLANKS))])
-_MACHINES: dict[str, CountingTransducer] = {}
-
-
-def machine(vocabulary: str) -> CountingTransducer:
-    if vocabulary not in _MACHINES:
-        _MACHINES[vocabulary] = CountingTransducer(vocabulary)
-    return _MACHINES[vocabulary]
-
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, **cols: str) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit): one row per document; null and empty texts have no tokens."""
+    """(doc_id, n_bytes, n_tokens, over_limit): one row per document.
+
+    Null and empty texts have no bytes and no tokens; texts of any length are read in blocks; a text of exactly ``limit``
+    tokens is not over it. Repeated rows give repeated rows, an empty table none. Columns beside the two that are read do not
+    matter, also where their names differ from these only in case.
+    """
 
     def rows(batch: list[bytes]) -> list[list]:
-        count = machine(vocabulary).count
-        n = [count(t) for t in batch]
-        return [[len(t) for t in batch], n, [x > limit for x in n]]
+        n = encoder(vocabulary).count([raw.decode("utf-8", "replace") for raw in batch])
+        return [[len(raw) for raw in batch], n, n > limit]
 
     return map_texts(docs, "n_bytes long, n_tokens long, over_limit boolean", rows, **cols)

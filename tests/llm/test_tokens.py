@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from keyloom.llm import bpe, counting, packing
+from keyloom.llm import bpe, counting, library, packing, transducer
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 ODD = [" ", "  ", "\n", "\t", "a", "don't", "'LL", "é", "1", "½", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "日", "\U0001f642",
@@ -49,23 +50,74 @@ def test_long_pretokens_stream_as_the_library(pair, text):
     assert ids(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
 
 
-def test_stream_is_the_whole_with_any_window(pair):
-    """Tokens emitted early are those of the whole, and what is held stays within the window."""
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(ODD), max_size=60).map("".join), st.integers(1, 40), st.integers(1, 9))
+def test_blocks_and_chunks_of_any_size_give_the_same(pair, text, size, lanes):
     _, own = pair
+    whole, was = own.encode(text), transducer.LANES
+    try:
+        transducer.LANES = lanes
+        assert own.encode(text, size) == whole
+        assert own.count([text, "", text], size).tolist() == [len(whole) // 4, 0, len(whole) // 4]
+        assert bpe.digests(own, ["", text, ""], size) == bpe.digests(own, ["", text, ""])
+    finally:
+        transducer.LANES = was
+
+
+def test_runs_without_an_ending_symbol_pass_their_state_along(pair, monkeypatch):
+    library, own = pair
+    monkeypatch.setattr(transducer, "LANES", 50)
     rnd = random.Random(1)
-    for alphabet in ("ab", "the ", "aeiouxyz"):
-        symbols = [rnd.choice(alphabet.replace(" ", "e")) for _ in range(6000)]
-        assert list(own.merges.stream(iter(symbols))) == own.merges.apply(symbols)
-    seen = 0
+    for alphabet in ("ab", "the", "aeiouxyz"):
+        text = "".join(rnd.choice(alphabet) for _ in range(6000)) + " end"
+        assert ids(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
+
 
-    def counted():
-        nonlocal seen
-        for c in "ab" * 10_000:
-            seen += 1
-            yield c
+def test_states_hold_no_more_than_the_lookahead(pair):
+    """What a state keeps, from its stable place on, is within the bound that the merge list gives."""
+    _, own = pair
+    rnd = random.Random(2)
+    for alphabet in ("ab", "the ", "0123456789", "=-"):
+        own.encode("".join(rnd.choice(alphabet) for _ in range(3000)) + " " + alphabet[0] * 900)
+    width = {i: len(t) for table in (own.machine.inner, own.machine.last) for t, i in table.items()}
+    pending = [sum(width[i] for i in path[1:]) + len(since) for state in own.machine.states for since, path in state]
+    assert max(pending) <= own.merges.lookahead
+
+
+def test_a_full_table_starts_anew_with_the_state_in_use(pair, monkeypatch):
+    library, own = pair
+    monkeypatch.setattr(transducer, "STATES", 20)
+    text = " ".join("".join(random.Random(i).choices("abcdefgh", k=12)) for i in range(200))
+    assert ids(own.encode(text, 64)) == library.encode(text, add_special_tokens=False).ids
+    assert len(own.machine.states) < 500
 
-    first = next(iter(own.merges.stream(counted())))
-    assert first and seen <= 3 * own.merges.lookahead
+
+def test_memory_does_not_grow_with_the_text(pair):
+    _, own = pair
+
+    def peak(text):
+        own.count([text]), bpe.digests(own, [text])
+        tracemalloc.start()
+        bpe.digests(own, [text])
+        own.count([text])
+        _, most = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        return most
+
+    line = "some words of a long text, again and again. "
+    assert peak(line * 400_000) < 1.2 * peak(line * 50_000)
+
+
+def test_tokens_that_fit_side_by_side(pair):
+    """The seam test agrees with merging the symbols of both tokens."""
+    library, own = pair
+    if own.folds:
+        return
+    rnd = random.Random(3)
+    plain = [(t, i) for t, i in own.vocab.items() if t.isascii() and t.isalpha()]
+    for _ in range(4000):
+        (a, i), (b, j) = rnd.choice(plain), rnd.choice(plain)
+        assert own.machine.pairs.fit(i, j) == (library.encode(a + b, add_special_tokens=False).ids == [i, j])
 
 
 def test_decoder_replaces_ill_formed_bytes(vocabulary):
@@ -83,7 +135,7 @@ def test_improper_merges_are_refused():
         bpe.Merges({}, [("ab", "c"), ("a", "b")])
 
 
-def test_encode_decode_query(docs, vocabulary):
+def test_encode_decode_query(docs, no_docs, clashing, vocabulary):
     library = Tokenizer.from_file(vocabulary(FILES[0]))
     want = []
     for r in docs.select("doc_id", "text").collect():
@@ -92,6 +144,9 @@ def test_encode_decode_query(docs, vocabulary):
         want.append((r["doc_id"], len(own), hashlib.sha256(struct.pack(f"<{len(own)}I", *own)).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
     found = [tuple(r)[:4] for r in bpe.encode_decode(docs, vocabulary(FILES[0])).collect()]
     assert sorted(found, key=str) == sorted(want, key=str)
+    assert bpe.encode_decode(no_docs, vocabulary(FILES[0])).collect() == []
+    only = bpe.encode_decode(clashing, vocabulary(FILES[0])).collect()
+    assert [(r["doc_id"], r["n_bytes"], r["decoded_sha256"]) for r in only] == [(1, 16, hashlib.sha256(b"right words here").hexdigest())]
 
 
 def test_token_counts_query(docs, no_docs, clashing, vocabulary):
@@ -107,17 +162,22 @@ def test_token_counts_query(docs, no_docs, clashing, vocabulary):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from(["a", "bc", " ", "\n", "the", "é", "<|endoftext|>", "'ll"]), max_size=40).map("".join), st.integers(1, 9))
-def test_chunk_maps_compose(vocabulary, text, chunk):
-    machine = counting.machine(vocabulary(FILES[1]))
-    assert machine.count(text.encode(), chunk) == machine.count(text.encode())
+@given(st.lists(st.lists(st.sampled_from(ODD), max_size=12).map("".join), max_size=6))
+def test_library_ids_by_words(vocabulary, texts):
+    path = vocabulary(FILES[1])
+    tokenizer = Tokenizer.from_file(path)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids(flat) for flat in library.library_ids(path).encode([t.encode() for t in texts])] == want
 
 
-def test_composition_is_associative(vocabulary):
-    machine = counting.machine(vocabulary(FILES[1]))
-    a, b, c = (machine.chunk_map(x) for x in (b"ab c", b"de", b"f g"))
-    assert machine.compose(machine.compose(a, b), c) == machine.compose(a, machine.compose(b, c))
-    assert machine.compose(counting.UNIT, a) == a == machine.compose(a, counting.UNIT)
+def test_library_table_is_bounded(vocabulary, monkeypatch):
+    path = vocabulary(FILES[1])
+    monkeypatch.setattr(library, "TABLE_WORDS", 20)
+    own, tokenizer = library.LibraryIds(path), Tokenizer.from_file(path)
+    for i in range(10):
+        text = " ".join(["same", *("".join(random.Random(31 * i + k).choices("abcé.", k=9)) for k in range(30)), "x" * 300])
+        assert ids(own.encode([text.encode()])[0]) == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(own.words) <= 80 and not any(len(w) > library.TABLE_BYTES for w in [*own.words, *own.pieces])
 
 
 def check_packing(rows, texts, size=2048):
@@ -145,7 +205,7 @@ def check_packing(rows, texts, size=2048):
     return padding
 
 
-def test_packing_query(spark, docs, no_docs, vocabulary):
+def test_packing_query(spark, docs, no_docs, clashing, vocabulary):
     library = Tokenizer.from_file(vocabulary(FILES[1]))
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).coalesce(1).cache()
     texts = {r["doc_id"]: [*library.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in unique.collect()}
@@ -154,6 +214,8 @@ def test_packing_query(spark, docs, no_docs, vocabulary):
     assert packing.pack_documents(no_docs, vocabulary(FILES[1])).collect() == []
     every = packing.pack_documents(docs, vocabulary(FILES[1])).collect()
     assert sum(r["start"] == 0 for r in every) == docs.count()  # null and repeated ids included
+    only = packing.pack_documents(clashing, vocabulary(FILES[1])).collect()
+    assert [(r["doc_id"], r["doc_tokens"]) for r in only] == [(1, 4)]
 
 
 @settings(max_examples=30, deadline=None)
