@@ -1,18 +1,23 @@
 """Secret scans in DataFrame functions alone: base patterns, and a battery of randomness tests with error control.
 
 Places come from the texts between matches: what a pattern splits off, and what it matches, alternate, so their lengths
-add up to every match's start. All places count code points, ends are exclusive.
+add up to every match's start. All places count code points, ends are exclusive. Each array is computed once and bound to a
+lambda variable, and running sums are folded in blocks, so work is linear in a text's length and in its matches. A text is
+scanned once: what was found is written to the shared folder, and the cutoffs are applied to that.
 
 The battery looks at long unbroken tokens outside the base spans. It infers the encoding from the characters present
-(hexadecimal, base32 and base36 in either case, base62, base64: the first alphabet that has them all), maps characters to digits of that base and tests three ways in which text differs from random digits: chi-squared
-uniformity over the alphabet, runs above and below its middle, and correlation of neighbours. A token that any test
-rejects is no secret. A token that passes is one only with evidence against prose: the likelihood ratio of uniform digits
-to a fixed character model of text. That ratio has mean 1 at most for prose, and is divided by the number of alphabets as
-the token chooses among them, so it is an e-value; it grows with length.
-Within each class of lengths the step-up rule for e-values over all tokens of the corpus keeps the false discovery rate
-at ``FDR`` whatever the dependence. Only a histogram of evidence by length class comes to the driver.
-
-Null texts are empty: no spans, and the hash of an empty string.
+(hexadecimal, base32 and base36 in either case, base62, base64: the first alphabet that has them all), maps characters to
+digits of that base and tests three ways in which text differs from random digits: chi-squared uniformity over the alphabet,
+runs above and below its middle, and correlation of neighbours. A token that any test rejects is no secret. A token that
+passes is one only with evidence against prose: the likelihood ratio of uniform digits to a fixed character model of text.
+That ratio has mean 1 at most for prose, and is divided by the number of alphabets as the token chooses among them, so it is
+an e-value; it grows with length. Within each class of lengths the step-up rule for e-values over all tokens of the corpus
+keeps the false discovery rate at ``FDR`` whatever the dependence. Only a histogram of evidence by length class comes to the
+driver.
+
+Null texts are empty: no spans, and the hash of an empty string. An empty table gives no rows. Repeated rows are scanned as
+often as they occur, and each counts in the histogram. Tokens of equal evidence share their verdict within a length class.
+Extra columns are ignored by ``find_secrets``, also where their names differ from the wanted ones only in case.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.session import pick
+from keyloom.session import materialize, pick
 
 # Patterns and least lengths (fixed values).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,20 +52,53 @@ LENGTHS, TEST_LEVEL, FDR = (32, 48, 96), 0.003, 0.01
 PROSE = (("[a-z]", 0.90, 26), ("[A-Z]", 0.04, 26), ("[0-9]", 0.04, 10), ("[+/_-]", 0.02, 4))
 
 
-def _places(text: Column, pattern: str, matches: Column) -> Column:
-    """array of (start, end) of all matches."""
-    between = F.transform(F.split(text, pattern, -1), F.length)
-    lengths = F.transform(matches, F.length)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+#: Elements that one level of a fold goes through.
+BLOCK = 64
+_PLACES = "array<struct<start:int,end:int,token:string>>"
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.get(between, i)
-        end = start + F.get(lengths, i)
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(start.alias("start"), end.alias("end"))).alias("spans"))
 
-    last = F.size(matches) - 1
-    indexes = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(indexes, zero, step)["spans"]
+def _with(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _none(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+def _fold(items: Column, zero: Column, kind: str, step) -> Column:
+    """What ``step(state, item)``, a struct (state, emits), emits over all items, an array of type ``kind``.
+
+    Growing an array copies it, so emitted elements are gathered by blocks.
+    """
+
+    def run(bound: Column) -> Column:
+        def inner(state: Column, first: Column) -> Column:
+            grow = lambda acc, x: _with(step(acc["state"], x), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["emits"]).alias("out")))
+            return F.aggregate(F.slice(bound, first, F.lit(BLOCK)), F.struct(state.alias("state"), _none(kind).alias("out")), grow)
+
+        def outer(acc: Column, first: Column) -> Column:
+            return _with(inner(acc["state"], first), lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["outs"], r["out"]).alias("outs")))
+
+        start = F.struct(zero.alias("state"), _none(f"array<{kind}>").alias("outs"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(bound), F.lit(1)), F.lit(BLOCK)), start, outer)["outs"])
+
+    return _with(items, run)
+
+
+def _places(text: Column, pattern: str, matches: Column | None = None) -> Column:
+    """array of (start, end, token) of all matches; ``matches`` has other texts to carry than the whole matches."""
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sized = F.zip_with(F.split(text, pattern, -1), whole, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("token")))
+    if matches is not None:
+        sized = F.zip_with(sized, matches, lambda x, m: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), m.alias("token")))
+
+    def step(at: Column, x: Column) -> Column:
+        start = at + x["gap"]
+        end = start + x["size"]
+        return F.struct(end.alias("state"), F.array(F.struct(start.alias("start"), end.alias("end"), x["token"].alias("token"))).alias("emits"))
+
+    return _fold(F.filter(sized, lambda x: x["size"].isNotNull()), F.lit(0), _PLACES, step)
 
 
 def _spans(places: Column, kind: int, keep=None) -> Column:
@@ -82,11 +120,6 @@ def _tail(z: Column) -> Column:
     return F.least(F.lit(1.0), 2 * F.exp(-x * x / 2) / (1.64 * x + F.sqrt(0.76 * x * x + 4)))
 
 
-def _with(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _battery(token: Column) -> Column:
     """(encoding, p, evidence) of one token: least corrected p-value of the tests, and log10 of the e-value."""
     encoding, alphabet = F.lit(64), F.lit(ALPHABETS[64])
@@ -97,45 +130,57 @@ def _battery(token: Column) -> Column:
 
     def digits(c: Column) -> Column:
         case = F.when(c["encoding"] == 16, F.lower(c["token"])).when(c["encoding"] <= 36, F.upper(c["token"])).otherwise(F.translate(c["token"], "-_", "+/"))
-        found = F.transform(F.split(case, ""), lambda x: (F.instr(c["alphabet"], x) - 1).cast("double"))
+        found = _with(case, lambda own: F.transform(F.split(own, ""), lambda x: (F.instr(c["alphabet"], x) - 1).cast("double")))
         return _with(F.filter(found, lambda d: d >= 0), lambda ds: _tests(c["token"], c["encoding"], ds))
 
     return _with(chosen, digits)
 
 
+def _named(**values: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in values.items()])
+
+
 def _tests(token: Column, encoding: Column, digits: Column) -> Column:
-    n = F.length(token).cast("double")
+    """The tests from two passes: over the digits in order, and over them sorted."""
+    zero = F.lit(0.0)
     k = encoding.cast("double")
-    add = lambda a, b: a + b
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), add)
-    # Uniformity: k/n times the sum of squared counts, less n; a cube-root transform makes it normal.
-    counts = F.transform(F.sequence(F.lit(0), encoding - 1), lambda c: F.size(F.filter(digits, lambda d: d == c)).cast("double"))
-    chi = k / n * total(F.transform(counts, lambda c: c * c)) - n
-    df = k - 1
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    # Runs above and below the middle of the alphabet.
-    high = F.transform(digits, lambda d: (d >= k / 2).cast("double"))
-    shifted = F.slice(high, 2, F.greatest(F.size(high) - 1, F.lit(1)))
-    ups = total(high)
-    downs = n - ups
-    changes = total(F.zip_with(F.slice(high, 1, F.greatest(F.size(high) - 1, F.lit(1))), shifted, lambda a, b: F.abs(a - b)))
-    expected = 2 * ups * downs / n + 1
-    spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
-    z_runs = (changes + 1 - expected) / spread
-    # Neighbours.
-    mean = total(digits) / n
-    centred = F.transform(digits, lambda d: d - mean)
-    square = F.greatest(total(F.transform(centred, lambda d: d * d)), F.lit(1e-9))
-    pairs = F.zip_with(
-        F.slice(centred, 1, F.greatest(F.size(centred) - 1, F.lit(1))), F.slice(centred, 2, F.greatest(F.size(centred) - 1, F.lit(1))), lambda a, b: a * b
-    )
-    z_serial = (total(pairs) / square + 1 / n) * F.sqrt(n)
-    # Too many of one character speaks against randomness; too even a spread does not.
-    p = 3 * F.least(_tail(F.greatest(z_chi, F.lit(0.0))), _tail(z_runs), _tail(z_serial))
-    evidence = -n * F.log10(k) - math.log10(CHOICES)
-    for characters, share, size in PROSE:
-        evidence = evidence - F.length(F.regexp_replace(token, "[^" + characters[1:], "")) * math.log10(share / size)
-    return F.struct(encoding.alias("encoding"), p.alias("p"), evidence.alias("evidence"))
+
+    def ordered(a: Column, d: Column) -> Column:
+        high = (d >= k / 2).cast("double")
+        return _named(
+            n=a["n"] + 1, sum=a["sum"] + d, square=a["square"] + d * d, ups=a["ups"] + high,
+            changes=a["changes"] + F.when(a["n"] > 0, F.abs(high - a["high"])).otherwise(zero),
+            pairs=a["pairs"] + a["last"] * d, last=d, high=high,
+        )
+
+    def grouped(a: Column, d: Column) -> Column:
+        run = F.when(d == a["last"], a["run"] + 1).otherwise(F.lit(1.0))
+        return _with(run, lambda r: _named(last=d, run=r, squares=a["squares"] + 2 * r - 1))
+
+    sums = F.aggregate(digits, _named(n=zero, sum=zero, square=zero, ups=zero, changes=zero, pairs=zero, last=zero, high=zero), ordered)
+    counts = F.aggregate(F.array_sort(digits), _named(last=F.lit(-1.0), run=zero, squares=zero), grouped)["squares"]
+
+    def judged(x: Column) -> Column:
+        n, s = x["n"], x["sums"]
+        mean = s["sum"] / n
+        # Uniformity: k/n times the sum of squared counts, less n; a cube-root transform makes it normal.
+        df = k - 1
+        z_chi = (F.pow(F.greatest(k / n * x["counts"] - n, zero) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+        # Runs above and below the middle of the alphabet.
+        expected = 2 * s["ups"] * (n - s["ups"]) / n + 1
+        z_runs = (s["changes"] + 1 - expected) / F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
+        # Neighbours.
+        square = F.greatest(s["square"] - n * mean * mean, F.lit(1e-9))
+        pairs = s["pairs"] - mean * (2 * s["sum"] - F.get(digits, F.lit(0)) - s["last"]) + (n - 1) * mean * mean
+        z_serial = (pairs / square + 1 / n) * F.sqrt(n)
+        # Too many of one character speaks against randomness; too even a spread does not.
+        p = 3 * F.least(_tail(F.greatest(z_chi, zero)), _tail(z_runs), _tail(z_serial))
+        evidence = -n * F.log10(k) - math.log10(CHOICES)
+        for characters, share, size in PROSE:
+            evidence = evidence - F.length(F.regexp_replace(token, "[^" + characters[1:], "")) * math.log10(share / size)
+        return _named(encoding=encoding, p=p, evidence=evidence)
+
+    return _with(_named(n=F.length(token).cast("double"), sums=sums, counts=counts), judged)
 
 
 def _length_class(n: Column) -> Column:
@@ -145,40 +190,53 @@ def _length_class(n: Column) -> Column:
     return out
 
 
-def scan(text: Column) -> tuple[Column, Column]:
-    """(base, candidates): sorted base spans, and tokens outside them with their test results."""
-    groups = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    places = _places(text, ASSIGN, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0)))
-    long_enough = F.filter(
-        F.transform(places, lambda p, i: F.struct(p["start"].alias("start"), p["end"].alias("end"), (F.length(F.get(groups, i)) >= LEAST_ASSIGN).alias("ok"))),
-        lambda p: p["ok"],
-    )
-    assign = _gated(text.rlike(ASSIGN), _spans(long_enough, 0))
-    access = _gated(F.contains(text, F.lit("AKIA")), _spans(_places(text, ACCESS, F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0))), 1))
-    hexes = _gated(text.rlike(HEX), _spans(_places(text, HEX, F.regexp_extract_all(text, F.lit(HEX), F.lit(0))), 2))
-    base = F.array_sort(F.concat(assign, access, hexes))
-    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    found = F.zip_with(
-        _places(text, TOKEN, tokens), tokens, lambda p, t: F.struct(p["start"].alias("start"), p["end"].alias("end"), t.alias("token"))
+def _outside(base: Column, candidates: Column) -> Column:
+    """The candidates, in order, that no base span overlaps: one pass over both by start.
+
+    Candidates do not overlap each other, so a base span that begins within one comes before the next one.
+    """
+    kind = "struct<start:int,kind:int,end:int,token:string>"
+    item = lambda s, which, token: _named(start=s["start"], kind=F.lit(which), end=s["end"], token=token)
+    both = F.array_sort(
+        F.concat(F.transform(base, lambda b: item(b, 0, F.lit(None).cast("string"))), F.transform(candidates, lambda c: item(c, 1, c["token"])))
     )
+    last = F.array(item(_named(start=F.lit(2**31 - 1), end=F.lit(2**31 - 1)), 1, F.lit(None).cast("string")))  # lets the one before go
+    zero = _named(covered=F.lit(0), waits=F.lit(None).cast(kind))
+
+    def step(state: Column, x: Column) -> Column:
+        waits, is_base = state["waits"], x["kind"] == 0
+        free = (~is_base) & (x["start"] >= state["covered"])
+        kept = F.when(is_base, F.when(waits["end"] <= x["start"], waits)).when(free, x)
+        after = _named(covered=F.when(is_base, F.greatest(state["covered"], x["end"])).otherwise(state["covered"]), waits=kept)
+        out = F.array(_named(start=waits["start"], end=waits["end"], token=waits["token"]))
+        return _named(state=after, emits=F.when(~is_base & waits.isNotNull(), out).otherwise(_none(_PLACES)))
+
+    return _fold(F.concat(both, last), zero, _PLACES, step)
+
+
+def scan(text: Column) -> Column:
+    """(base, candidates): sorted base spans, and tokens outside them with their test results."""
+    assigned = F.filter(_places(text, ASSIGN, F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))), lambda p: F.length(p["token"]) >= LEAST_ASSIGN)
+    assign = _gated(text.rlike(ASSIGN), _spans(assigned, 0))
+    access = _gated(F.contains(text, F.lit("AKIA")), _spans(_places(text, ACCESS), 1))
+    hexes = _gated(text.rlike(HEX), _spans(_places(text, HEX), 2))
     # One case of letters alone is a word, digits alone a number.
     coded = r"(?=.*[0-9])(?=.*[A-Za-z])|(?=.*[a-z])(?=.*[A-Z])"
-    kind = "array<struct<start:int,end:int,token:string>>"
-    candidates = F.when(text.rlike(TOKEN), F.filter(found, lambda t: t["token"].rlike(coded))).otherwise(F.array().cast(kind))
-    return base, candidates
+
+    def tested(base: Column) -> Column:
+        found = F.filter(_places(text, TOKEN), lambda t: t["token"].rlike(coded))
+        outside = _with(found, lambda f: F.when(F.size(f) == 0, f).otherwise(_outside(base, f)))
+        each = lambda c: _named(start=c["start"], end=c["end"], **{"class": _length_class(c["end"] - c["start"])}, test=_battery(c["token"]))
+        none = _none("array<struct<start:int,end:int,class:int,test:struct<encoding:int,p:double,evidence:double>>>")
+        return _named(base=base, candidates=F.when(text.rlike(TOKEN), F.transform(outside, each)).otherwise(none))
+
+    return _with(F.array_sort(F.concat(assign, access, hexes)), tested)
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` with columns base and candidates for the non-null string column ``text``."""
-    base, candidates = scan(F.col("text"))
-    found = docs.withColumn("base", base).withColumn("candidates", candidates)
-    outside = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    found = found.withColumn("candidates", outside)
-    tested = F.transform(
-        "candidates",
-        lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), _length_class(c["end"] - c["start"]).alias("class"), _battery(c["token"]).alias("test")),
-    )
-    return found.withColumn("candidates", tested)
+    """``docs`` with columns base and candidates for the non-null string column ``text``, written to the shared folder."""
+    found = docs.withColumn("found", scan(F.col("text")))
+    return materialize(found.select(*docs.columns, "found.base", "found.candidates"), "scanned")
 
 
 def evidence_cutoffs(scanned: DataFrame, fdr: float = FDR) -> list[float]:
@@ -207,12 +265,11 @@ def evidence_cutoffs(scanned: DataFrame, fdr: float = FDR) -> list[float]:
 
 def find_secrets(docs: DataFrame, fdr: float = FDR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, spans): sorted (start, kind, end), kinds numbered as in KINDS; base without the battery's spans."""
-    src = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return _with_spans(src, fdr).select("doc_id", "base", "spans")
+    src = pick(docs, doc_id=id_col, text=text_col).withColumn("found", scan(F.coalesce("text", F.lit(""))))
+    return _with_spans(materialize(src.select("doc_id", "found.base", "found.candidates"), "scanned"), fdr).select("doc_id", "base", "spans")
 
 
-def _with_spans(src: DataFrame, fdr: float) -> DataFrame:
-    scanned = _scanned(src)
+def _with_spans(scanned: DataFrame, fdr: float) -> DataFrame:
     cutoffs = F.array(*[F.lit(float(c)) for c in evidence_cutoffs(scanned, fdr)])
     surely = lambda c: (c["test"]["p"] >= TEST_LEVEL) & (F.floor(c["test"]["evidence"] * 10) / 10 >= F.get(cutoffs, c["class"]))
     random = _spans(F.filter("candidates", surely), 3)
@@ -230,18 +287,25 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", fdr: float = FDR) -> DataFra
     """``docs`` with every span of its column ``text`` replaced by ``mark``; overlapping spans become one mark."""
     others = [c for c in docs.columns if c != "text"]
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"), F.col("text").alias("given"), F.coalesce("text", F.lit("")).alias("text"))
-    found = _with_spans(src, fdr)
-    text = F.col("text")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"]).alias("out")
-        )
-
-    done = F.aggregate("spans", zero, step)
-    clean = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
-    out = F.when(F.size("spans") > 0, clean).otherwise(F.col("given"))
+    found = _with_spans(_scanned(src), fdr)
+    gap = "array<struct<start:int,end:int>>"
+
+    def step(at: Column, span: Column) -> Column:
+        before = F.array(_named(start=at, end=span["start"]))
+        return _named(state=F.greatest(at, span["end"]), emits=F.when(span["start"] >= at, before).otherwise(_none(gap)))
+
+    last = _named(start=F.array_max(F.transform("spans", lambda x: x["end"])), end=F.length("text"))
+    kept = F.array_append(_fold(F.col("spans"), F.lit(0), gap, step), last)
+
+    def joined(gaps: Column) -> Column:
+        # A block's stretch is cut out of the text first, and its gaps out of that.
+        def part(own: Column) -> Column:
+            begin = F.get(own, F.lit(0))["start"]
+            stretch = F.substring(F.col("text"), begin + 1, F.element_at(own, -1)["end"] - begin)
+            return _with(stretch, lambda text: F.array_join(F.transform(own, lambda g: F.substring(text, g["start"] - begin + 1, g["end"] - g["start"])), mark))
+
+        firsts = F.sequence(F.lit(1), F.size(gaps), F.lit(BLOCK))
+        return F.array_join(F.transform(firsts, lambda i: _with(F.slice(gaps, i, F.lit(BLOCK)), part)), mark)
+
+    out = F.when(F.size("spans") > 0, _with(kept, joined)).otherwise(F.col("given"))
     return found.withColumn("cleaned", out).select(*[F.col("cleaned").alias("text") if c == "text" else F.col(f"others.`{c}`") for c in docs.columns])

@@ -1,6 +1,9 @@
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,8 +110,103 @@ def test_step_up_rule(spark):
 
 
 def test_plan_has_no_python(spark):
-    plan = op5_secrets(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    scanned = spark.read.parquet(f"{SF}/documents.parquet").withColumn("found", secrets.scan(F.col("text")))
+    for frame in (op5_secrets(spark, SF), scanned, secrets.redact(scanned.select("doc_id", "text"))):
+        assert not re.search("Python|Pandas|Arrow", frame._jdf.queryExecution().executedPlan().toString())
+
+
+def tail(z):
+    x = abs(z)
+    return min(1.0, 2 * math.exp(-x * x / 2) / (1.64 * x + math.sqrt(0.76 * x * x + 4)))
+
+
+def brute_battery(token):
+    """(encoding, p, evidence) by the formulas, with plain lists."""
+    encoding = next((size for size, pattern in secrets.ENCODINGS if re.match(pattern, token)), 64)
+    own = token.lower() if encoding == 16 else token.upper() if encoding <= 36 else token.translate(str.maketrans("-_", "+/"))
+    digits = [secrets.ALPHABETS[encoding].index(c) for c in own]
+    n, k, df = len(digits), encoding, encoding - 1
+    chi = sum(c * c for c in Counter(digits).values()) * k / n - n
+    z_chi = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [d >= k / 2 for d in digits]
+    ups = sum(high)
+    expected = 2 * ups * (n - ups) / n + 1
+    z_runs = (sum(a != b for a, b in zip(high, high[1:])) + 1 - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+    mean = sum(digits) / n
+    square = max(sum((d - mean) ** 2 for d in digits), 1e-9)
+    z_serial = (sum((a - mean) * (b - mean) for a, b in zip(digits, digits[1:])) / square + 1 / n) * math.sqrt(n)
+    evidence = -n * math.log10(k) - math.log10(secrets.CHOICES)
+    for characters, share, size in secrets.PROSE:
+        evidence -= len(re.findall(characters, token)) * math.log10(share / size)
+    return encoding, 3 * min(tail(max(z_chi, 0)), tail(z_runs), tail(z_serial)), evidence
+
+
+def brute_spans(texts):
+    """Base and battery spans of all texts: overlaps by comparing each pair, and the step-up rule over a sorted list."""
+    found, classes = [], {}
+    for text in texts:
+        base, tokens = brute(text), []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text):
+            mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) or re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])
+            if mixed and not any(a < m.end() and m.start() < b for a, _, b in base):
+                _, p, evidence = brute_battery(m[0])
+                tenths = min(max(math.floor(evidence * 10), -10), 3000) if p >= secrets.TEST_LEVEL else -10
+                tokens.append((m.start(), m.end(), sum(len(m[0]) >= x for x in secrets.LENGTHS), tenths))
+                classes.setdefault(tokens[-1][2], []).append(tenths)
+        found.append((base, tokens))
+    cutoffs = {}
+    for c, values in classes.items():
+        passing = [v for v in set(values) if v > 0 and v / 10 >= math.log10(len(values) * 4 / (secrets.FDR * sum(x >= v for x in values)))]
+        cutoffs[c] = min(passing, default=math.inf)
+    return [sorted(base + [(a, 3, b) for a, b, c, v in tokens if v >= cutoffs[c]]) for base, tokens in found]
+
+
+def test_all_spans_against_brute_force(spark):
+    rnd = random.Random(23)
+    parts = [
+        lambda: "".join(rnd.choices("abcdefgh ", k=30)), lambda: "".join(rnd.choices(secrets.ALPHABETS[62], k=rnd.randint(20, 120))),
+        lambda: "".join(rnd.choices("0123456789abcdef", k=rnd.randint(20, 40))), lambda: "AKIA" + "".join(rnd.choices(secrets.ALPHABETS[36], k=18)),
+        lambda: "token=" + "".join(rnd.choices(secrets.ALPHABETS[64], k=rnd.randint(3, 50))), lambda: " secret: ", lambda: "xpassword: é",
+        lambda: "".join(rnd.choices(secrets.ALPHABETS[36].lower(), k=60)), lambda: "\U0001f600", lambda: "/".join(["some", "path"] * 5) + "2",
+    ]
+    texts = ["".join(rnd.choice(parts)() + rnd.choice([" ", "", ",", "\n"]) for _ in range(rnd.randint(0, 150))) for _ in range(80)]
+    want = brute_spans(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in secrets.find_secrets(frame).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+    assert sum(k == 3 for x in want for _, k, _ in x) > 100
+    for r in secrets.redact(frame).collect():
+        text, at, kept = texts[r["doc_id"]], 0, []
+        for a, _, b in want[r["doc_id"]]:
+            if a >= at:
+                kept.append(text[at:a])
+            at = max(at, b)
+        assert r["text"] == "[SECRET]".join([*kept, text[at:]])
+
+
+@pytest.mark.parametrize("kind", ["hex", "tokens", "one", "assigned"])
+def test_dense_texts_take_linear_time(spark, kind):
+    rnd = random.Random(5)
+    make = {
+        "hex": lambda: " ".join("".join(rnd.choices("0123456789abcdef", k=32)) for _ in range(30_000)),
+        "tokens": lambda: " ".join("".join(rnd.choices(secrets.ALPHABETS[62], k=40)) for _ in range(25_000)),
+        "one": lambda: "".join(rnd.choices(secrets.ALPHABETS[62], k=1_000_000)),
+        "assigned": lambda: "".join(f"token={rnd.randrange(10**8):08d}," for _ in range(65_000)),
+    }
+    text = make[kind]()
+    assert len(text) > 900_000
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    found = [tuple(x) for x in secrets.find_secrets(frame).first()["spans"]]
+    took = time.perf_counter() - began
+    base = brute(text)
+    assert [x for x in found if x[1] < 3] == base
+    if kind == "tokens":
+        assert found == brute_spans([text])[0] and len(found) > 20_000
+    began = time.perf_counter()
+    assert len(secrets.redact(frame).first()["text"]) == len(text) - sum(b - a for a, _, b in found) + len("[SECRET]") * len(found)
+    print(kind, round(took, 1), round(time.perf_counter() - began, 1))
+    assert took < 60  # seconds on a slow machine; what grew with the square took hours
 
 
 ENCODED = {
