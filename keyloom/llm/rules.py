@@ -1,15 +1,20 @@
 """Quality rules whose cutoffs are risk-controlled on labelled documents.
 
-Each rule rejects a text when a share (of symbols, shouting, repeats ...) is over its cutoff. Cutoffs are chosen for each
-stratum of text lengths from the labelled documents that are good and pass the base rules. A rule may reject at most
-``risk / rules`` of a stratum's good texts, so all rules together at most ``risk``: going down from the mildest cutoff,
-each is tested by the exact (Clopper-Pearson) upper bound of its false rejections, and the first failure ends the
-sequence. Testing in a fixed order needs no correction within a rule; over rules and strata the level is divided by
-their number (Bonferroni). Among the proven cutoffs the mildest that catches nearly all that any of them catches is
-used. A stratum with too few good texts to prove a cutoff has none, and rejects nothing by the rule.
-
-Every labelled row counts; only counts of (stratum, rule, share in hundredths) come to the driver. Null and empty texts
-have no words and fail the base rules. Rows with a null id are judged, and not learnt from.
+Each rule rejects a text when a share (of symbols, shouting, repeats ...) is over its cutoff. In each stratum of text lengths
+all rules together may reject at most ``risk`` of the good texts that pass the base rules. Cutoffs are tightened along a path
+of joint settings, from none at all: each step moves one rule's cutoff to where it catches most labelled bad texts for the good
+ones that it costs. The path of a stratum is laid with the bad texts and with the good texts of the other strata, so it does not
+depend on the good texts that test it. These are the holdout: going down the path, each setting is tested by the exact
+(Clopper-Pearson) upper bound of the stratum's good texts that any rule rejects, and the first failure ends the sequence.
+Testing in a fixed order needs no correction within a stratum; over strata the level is divided by their number (Bonferroni).
+Among the proven settings the mildest that catches nearly all bad texts that any of them catches is used. A stratum with too few
+good texts to prove a setting (some 220 at the defaults) has none, and rejects nothing but what the base rules do.
+
+Every labelled row counts, a repeated id once (as good if any of its rows says so). Only counts by (stratum, rule, share in
+hundredths) and by (stratum, step) come to the driver. Null and empty texts have no words and fail the base rules; an empty table
+gives no rows. Rows with a null id are judged, and not learnt from; repeated rows are judged alike. A share equal to its cutoff
+is not over it. Texts of any length are counted whole. Columns beside the two that are read do not matter, also where their
+names differ from these only in case.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 
 from keyloom.session import materialize, pick, ship
 
-from .common import SLICE, map_texts, released
+from .common import SLICE, map_texts, release
 from .substrings import covered, window_hashes
 
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
@@ -87,27 +92,47 @@ def proven(k: int, n: int, allowed: float, level: float) -> bool:
     return n > 0 and k / n <= allowed and log_at_most(k, n, allowed) <= math.log(level)
 
 
-def choose_cutoffs(good: np.ndarray, bad: np.ndarray, risk: float = RISK, level: float = LEVEL) -> np.ndarray:
-    """Cutoffs in hundredths by stratum and rule, 100 for none.
+#: A joint setting of all rules' cutoffs in hundredths; 100 is none.
+Setting = tuple[int, ...]
 
-    ``good[s, r, b]`` and ``bad[s, r, b]`` count labelled texts whose share exceeds exactly b cutoffs.
+
+def lay_path(good: np.ndarray, bad: np.ndarray, risk: float = RISK) -> list[Setting]:
+    """Settings from none at all to stricter ones.
+
+    ``good[r, b]`` and ``bad[r, b]`` count texts whose share exceeds exactly b cutoffs of rule r. Each step takes the rule and
+    cutoff with most bad texts a good one; the path ends where good texts lost by any rule, added up, pass the risk twice.
     """
-    strata, rules, _ = good.shape
-    out = np.full((strata, rules), 100)
-    each, allowed = level / (strata * rules), risk / rules
-    for s in range(strata):
-        n = int(good[s, 0].sum())
+    rules = len(good)
+    lost, caught = (np.cumsum(x[:, ::-1], axis=1)[:, ::-1][:, 1:] for x in (good, bad))  # over cutoff 0, 1 ... 99
+    none = np.zeros((rules, 1), np.int64)
+    lost, caught = np.hstack([lost, none]), np.hstack([caught, none])
+    allowed = 2 * risk * max(1, int(good[0].sum()))
+    now, path = [100] * rules, [(100,) * rules]
+    while True:
+        best = (0.0, 0, 0, 0)
         for r in range(rules):
-            over_good = np.cumsum(good[s, r][::-1])[::-1]
-            over_bad = np.cumsum(bad[s, r][::-1])[::-1]
-            safe = []
-            for c in range(99, -1, -1):
-                if not proven(int(over_good[c + 1]), n, allowed, each):
-                    break
-                safe.append(c)
-            if safe and (most := max(over_bad[c + 1] for c in safe)) > 0:
-                out[s, r] = next(c for c in safe if over_bad[c + 1] >= 0.99 * most)
-    return out
+            gain, cost = caught[r] - caught[r, now[r]], lost[r] - lost[r, now[r]]
+            worth = gain[: now[r]] / (cost[: now[r]] + 0.5)
+            if now[r] and worth.max() > 0:
+                c = int(np.flatnonzero(worth == worth.max())[-1])  # the mildest of equals
+                best = max(best, (float(worth[c]), int(gain[c]), -r, c))
+        if not best[1]:
+            return path
+        now[-best[2]] = best[3]
+        if sum(lost[r, c] for r, c in enumerate(now)) > allowed:
+            return path
+        path.append(tuple(now))
+
+
+def choose_setting(good: np.ndarray, bad: np.ndarray, level: float, risk: float = RISK) -> int:
+    """The step of a path that is used. ``good[t]`` and ``bad[t]`` count texts that step t is the first to reject."""
+    n, over_good, over_bad = int(good.sum()), np.cumsum(good[:-1]), np.cumsum(bad[:-1])  # the last: rejected by none
+    proven_to = 0
+    for t in range(1, len(over_good)):
+        if not proven(int(over_good[t]), n, risk, level):
+            break
+        proven_to = t
+    return int(np.flatnonzero(over_bad[: proven_to + 1] >= 0.99 * over_bad[proven_to])[0])
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
@@ -120,14 +145,25 @@ def document_counts(docs: DataFrame) -> DataFrame:
     return map_texts(docs, COUNTS + ", base_failed boolean, stratum int, shares array<int>", rows)
 
 
-def calibrate(counted: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> np.ndarray:
+def calibrate(counted: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> list[Setting]:
+    """The setting of each stratum. ``counted`` is read twice: give what is cheap to read."""
     marks = pick(labels, doc_id="doc_id", y="quality").where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     judged = counted.where("not base_failed").select("doc_id", "stratum", "shares").join(marks, "doc_id")
-    table = judged.select("stratum", "y", F.posexplode("shares").alias("rule", "share")).groupBy("stratum", "y", "rule", "share").count().collect()
-    found = np.zeros((2, len(STRATA) + 1, len(RULES), 101), np.int64)
-    for r in table:
+    strata = len(STRATA) + 1
+    found = np.zeros((2, strata, len(RULES), 101), np.int64)
+    for r in judged.select("stratum", "y", F.posexplode("shares").alias("rule", "share")).groupBy("stratum", "y", "rule", "share").count().collect():
         found[int(r["y"] == 1), r["stratum"], r["rule"], r["share"]] += r["count"]
-    return choose_cutoffs(found[1], found[0], risk, level)
+    paths = [lay_path(found[1].sum(axis=0) - found[1][s], found[0].sum(axis=0), risk) for s in range(strata)]
+    # The first step whose setting rejects a text.
+    limits = F.array(*[F.array(*[F.array(*map(F.lit, setting)) for setting in path]) for path in paths])
+    over = lambda setting: F.exists(F.zip_with("shares", setting, lambda share, cutoff: share > cutoff), lambda x: x)
+    rejects = F.transform(F.element_at(limits, F.col("stratum") + 1), over)
+    step = F.coalesce(F.array_position(rejects, True).cast("int") - 1, F.lit(-1))
+    tested = [np.zeros((2, len(path) + 1), np.int64) for path in paths]
+    for r in judged.select("stratum", "y", step.alias("step")).groupBy("stratum", "y", "step").count().collect():
+        at = r["step"] if r["step"] >= 0 else -1
+        tested[r["stratum"]][int(r["y"] == 1), at] += r["count"]
+    return [path[choose_setting(t[1], t[0], level / strata, risk)] for path, t in zip(paths, tested)]
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
@@ -146,21 +182,24 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float =
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns.
 
-    Texts are counted twice, for the cutoffs and for the verdict: that costs less than moving every row to its verdict.
+    Texts are counted twice, for the cutoffs (of the labelled ones, only numbers are written) and for the verdict: that costs
+    less than moving every row to its verdict. Only the text goes to Python, and only the verdict comes back.
     """
-    cutoffs = calibrate(document_counts(docs), labels, risk, level).tolist()
-    at = docs.columns.index("text")
+    marked = pick(labels, doc_id="doc_id", y="quality").where("doc_id is not null and y is not null").select("doc_id").distinct()
+    texts_of = pick(docs, doc_id="doc_id", text="text").join(marked, "doc_id", "left_semi")
+    cutoffs = calibrate(materialize(document_counts(texts_of), "counts"), labels, risk, level)
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                keep = []
-                for text in part.column(at).to_pylist():
-                    c = counts((text or "").encode())
+            keep = []
+            for at in range(0, len(batch), SLICE):
+                for text in batch.slice(at, SLICE).to_pylist():
+                    c = counts(text)
                     own = cutoffs[stratum(c[0])]
                     keep.append(not base_failed(c) and all(b <= limit for b, limit in zip(shares(c), own)))
-                yield part.filter(pa.array(keep))
+            yield pa.array(keep, pa.bool_())
+        release()
 
-    return docs.mapInArrow(released(run), docs.schema)
+    return docs.where(good(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))

@@ -110,30 +110,116 @@ def test_bound_is_exact():
         assert rules.proven(k, n, p, tail * 1.001) == (k / n <= p) and not rules.proven(k, n, p, tail * 0.999)
 
 
-def test_cutoffs_keep_the_risk():
-    """Good texts over the cutoff are fewer than allowed; too few good texts prove nothing."""
-    good, bad = np.zeros((2, 1, 101), int), np.zeros((2, 1, 101), int)
-    good[0, 0, 0], good[0, 0, 3], bad[0, 0, 40] = 5000, 200, 300
-    good[1, 0, 0], bad[1, 0, 40] = 50, 300
-    cut = rules.choose_cutoffs(good, bad)
-    assert 3 <= cut[0, 0] < 40
-    assert cut[1, 0] == 100
+def test_paths_tighten_where_bad_texts_are_caught():
+    good, bad = np.zeros((2, 101), int), np.zeros((2, 101), int)
+    good[:, 0], good[0, 3], good[1, 50] = 5000, 100, 60
+    bad[0, 40], bad[1, 0] = 300, 300
+    path = rules.lay_path(good, bad)
+    assert path[0] == (100, 100) and path[-1][1] == 100  # the second rule catches none
+    assert path[-1][0] < 40 and all(a >= b for x, y in zip(path, path[1:]) for a, b in zip(x, y))
+    assert rules.lay_path(good, 0 * bad) == [(100, 100)]
+
+
+def test_settings_keep_the_joint_risk():
+    """Good texts that any rule rejects are fewer than allowed; too few good texts prove nothing."""
+    assert rules.choose_setting(np.array([0, 3, 300, 5000]), np.array([0, 200, 100, 5]), 0.0125) == 1
+    assert rules.choose_setting(np.array([0, 0, 0, 230]), np.array([0, 200, 100, 5]), 0.0125) == 2
+    assert rules.choose_setting(np.array([0, 0, 0, 200]), np.array([0, 200, 100, 5]), 0.0125) == 0
+    assert rules.choose_setting(np.array([0, 0, 0, 900]), np.array([0, 300, 1, 5]), 0.0125) == 1  # the mildest that catches nearly all
 
 
 def test_false_rejections_stay_under_the_risk_on_fresh_data():
     rnd = random.Random(5)
     over = 0
     for _ in range(60):
-        good = np.zeros((1, 1, 101), int)
-        bad = np.zeros((1, 1, 101), int)
+        steps = np.zeros(101, int)  # a text of value v is first rejected at step 100 - v
         for _ in range(3000):
-            good[0, 0, min(100, int(rnd.expovariate(0.3)))] += 1
-        bad[0, 0, 5:100] = 10
-        cut = int(rules.choose_cutoffs(good, bad, risk=0.02)[0, 0])
-        over += np.exp(-0.3 * (cut + 1)) > 0.02  # the true rate of values of cut + 1 or more
+            steps[100 - min(99, int(rnd.expovariate(0.3)))] += 1
+        bad = np.r_[np.full(100, 10), 0]
+        step = rules.choose_setting(steps, bad, 0.05)
+        over += np.exp(-0.3 * (100 - step)) > 0.02  # the true rate of values of 100 - step or more
     assert over / 60 <= 0.1
 
 
+def brute_kept(rows, labels, risk=rules.RISK, level=rules.LEVEL):
+    """The verdict of every (doc_id, text) by plain loops: paths, exact tests with fractions, then all rules on all texts."""
+    marks = {}
+    for i, y in labels:
+        marks[i] = max(y, marks.get(i, 0))
+    made = [(i, rules.counts((t or "").encode())) for i, t in rows]
+    seen = [(marks[i], rules.stratum(c[0]), rules.shares(c)) for i, c in made if i in marks and not rules.base_failed(c)]
+    settings, strata, n_rules = [], len(rules.STRATA) + 1, len(rules.RULES)
+    for s in range(strata):
+        bad = [x for y, _, x in seen if y == 0]
+        others = [x for y, t, x in seen if y == 1 and t != s]
+        own = [x for y, t, x in seen if y == 1 and t == s]
+        own_bad = [x for y, t, x in seen if y == 0 and t == s]
+        over = lambda xs, r, c: sum(x[r] > c for x in xs)
+        now, path = [100] * n_rules, [(100,) * n_rules]
+        while True:
+            options = []
+            for r in range(n_rules):
+                for c in range(now[r]):
+                    gain = over(bad, r, c) - over(bad, r, now[r])
+                    if gain > 0:
+                        options.append((gain / (over(others, r, c) - over(others, r, now[r]) + 0.5), r, c, gain))
+            if not options:
+                break
+            top = {r: max((w, c, g) for w, q, c, g in options if q == r) for r in {o[1] for o in options}}
+            _, _, minus_r, c = max((w, g, -r, c) for r, (w, c, g) in top.items())
+            now[-minus_r] = c
+            if sum(over(others, r, c) for r, c in enumerate(now)) > 2 * risk * max(1, len(others)):
+                break
+            path.append(tuple(now))
+        rejected = lambda xs, setting: sum(any(a > b for a, b in zip(x, setting)) for x in xs)
+        last = 0
+        for t in range(1, len(path)):
+            k, n = rejected(own, path[t]), len(own)
+            if not n or k / n > risk or sum(comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1)) > level / strata:
+                break
+            last = t
+        settings.append(next(p for p in path[: last + 1] if rejected(own_bad, p) >= 0.99 * rejected(own_bad, path[last])))
+    kept = [
+        not rules.base_failed(c) and all(a <= b for a, b in zip(rules.shares(c), settings[rules.stratum(c[0])])) for _, c in made
+    ]
+    return [(i, k) for (i, _), k in zip(made, kept)], settings
+
+
+def test_verdicts_against_brute_force(spark):
+    """Whole query with settings that are proven in some strata: sparse good texts, bad ones of several kinds."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 8)))
+    rows, labels = [], []
+    for i in range(1500):
+        n = rnd.choice([30, 40, 120, 150]) if i % 50 else 300
+        own, y = [word() for _ in range(n)], int(rnd.random() < 0.7)
+        if not y:
+            own = [w + rnd.choice(["###", "", "$$"]) for w in own] if i % 2 else [x for w in own for x in (w, w)]
+        elif rnd.random() < 0.2:
+            own[0] += "#"
+        rows.append((i, " ".join(own)))
+        if i % 5 < 4:
+            labels.append((i, y))
+    rows += [(None, "x " * 30), (7000, None), (7001, ""), rows[3], rows[3]]
+    labels += [labels[0], (3, 0), (3, 1), (99999, 1)]
+    want, settings = brute_kept(rows, labels)
+    assert sum(min(s) < 100 for s in settings) == 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    found = [(r["doc_id"], r["kept"]) for r in rules.judge(docs, marks).collect()]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert sorted([r["doc_id"] for r in rules.keep_good(docs, marks).collect()], key=str) == sorted([i for i, k in want if k], key=str)
+
+
+@pytest.mark.parametrize("sf", ["0.01"])
+def test_query_against_brute_force(spark, sf):
+    from keyloom.llm.queries import op8_rules
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf{sf}/{t}.parquet") for t in ("documents", "labels"))
+    want, _ = brute_kept([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["doc_id"], r["quality"]) for r in labels.collect()])
+    assert sorted((r["doc_id"], r["kept"]) for r in op8_rules(spark, f"/root/testdata/sf{sf}").collect()) == sorted(want)
+
+
 def test_keep_good_is_the_verdict(tables):
     kept = {r["doc_id"] for r in rules.keep_good(*tables).collect()}
     assert kept == {r["doc_id"] for r in rules.judge(*tables).where("kept").collect()}
