@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 from math import comb
 
 import numpy as np
@@ -225,13 +226,102 @@ def test_keep_good_is_the_verdict(tables):
     assert kept == {r["doc_id"] for r in rules.judge(*tables).where("kept").collect()}
 
 
+def hidden(n=6000, seed=1):
+    """A hidden label and voters: good, weak, and three copies of noise."""
+    rnd = np.random.default_rng(seed)
+    y = (rnd.random(n) < 0.2).astype(float)
+    vote = lambda hit, miss: np.where(y == 1, rnd.random(n) < hit, rnd.random(n) < miss)
+    noise = vote(0.3, 0.3)
+    return y, np.column_stack([vote(0.7, 0.02), vote(0.6, 0.05), vote(0.5, 0.05), vote(0.4, 0.1), noise, noise, noise]).astype(float)
+
+
+def over_all(votes):
+    return lambda model, pairs: toxicity.Moments.of(votes, model.posterior(votes), pairs)
+
+
 def test_label_model_finds_accuracies_and_shares_the_weight_of_copies():
-    rnd = np.random.default_rng(1)
-    y = rnd.random(4000) < 0.2
-    vote = lambda hit, miss: np.where(y, rnd.random(4000) < hit, rnd.random(4000) < miss)
-    good, weak, noise = vote(0.7, 0.02), vote(0.4, 0.1), vote(0.3, 0.3)
-    votes = np.column_stack([good, weak, noise, noise, noise]).astype(float)
-    posterior, rates, weights = toxicity.label_model(votes, y.astype(float))
-    assert np.mean((posterior > 0.5) == y) > 0.95
-    assert abs(rates[1, 0] - 0.7) < 0.08 and abs(rates[0, 0] - 0.02) < 0.02
-    assert weights[0] > 0.8 and max(weights[2:]) < 0.5
+    y, votes = hidden()
+    model = toxicity.estimate(votes[:500], y[:500], over_all(votes))
+    assert np.mean((model.posterior(votes) > 0.5) == y) > 0.93
+    assert abs(model.rates[1, 0] - 0.7) < 0.08 and abs(model.rates[0, 0] - 0.02) < 0.02
+    assert min(model.weights[:4]) > 0.8 and max(model.weights[4:]) < 0.5
+
+
+def test_posteriors_come_from_votes_and_mend_wrong_labels():
+    """A quarter of the sample's labels is flipped: posteriors differ from labels, and are nearer to the truth."""
+    y, votes = hidden()
+    rnd = np.random.default_rng(2)
+    given = np.where(rnd.random(800) < 0.25, 1 - y[:800], y[:800])
+    model = toxicity.estimate(votes[:800], given, over_all(votes))
+    own = model.posterior(votes[:800]) > 0.5
+    assert np.mean(own != given) > 0.15
+    assert np.mean(own == y[:800]) > 0.93 > 0.8 > np.mean(given == y[:800])
+
+
+def test_moments_add_up():
+    y, votes = hidden(300)
+    model = toxicity.LabelModel(0.2, toxicity.Moments.of(votes, y, True).rates(), np.ones(votes.shape[1]))
+    whole = toxicity.Moments.of(votes, model.posterior(votes), True)
+    parts = toxicity.Moments.of(votes[:100], model.posterior(votes[:100]), True) + toxicity.Moments.of(votes[100:], model.posterior(votes[100:]), True)
+    assert whole.toxic == parts.toxic and (whole.toxic_votes == parts.toxic_votes).all() and (whole.pairs == parts.pairs).all()
+
+
+def sample_of(tables, column):
+    """(id, label) of learnable labelled rows that have a document, by id."""
+    known = {r["doc_id"] for r in tables[0].select("doc_id").collect()}
+    return sorted((r["doc_id"], r[column]) for r in tables[1].collect() if r["doc_id"] in known and zlib.crc32(str(r["doc_id"]).encode()) % 5)
+
+
+def test_toxicity_query_against_plain_loops(spark, tables):
+    """Terms, label model over all documents, classifier and scores without Spark."""
+    from keyloom.llm.queries import op10_toxicity
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in tables[0].collect()}
+    sample = sample_of(tables, "toxic")
+    y = np.array([v for _, v in sample], float)
+    own = [sorted({t for w in toxicity.words_of(texts[i]) for t in toxicity.terms_of(w)}) for i, _ in sample]
+    names = sorted({t for t, n in Counter(t for terms, v in zip(own, y) if v for t in terms).items() if n >= toxicity.LEAST})
+    number = {t: j for j, t in enumerate(names)}
+    found = [[number[t] for t in terms if t in number] for terms in own]
+    counts = [np.bincount([j for f, v in zip(found, y) if v == k for j in f], minlength=len(names)) for k in (0, 1)]
+    ranked = toxicity.ranked_terms(names, counts[1], counts[0], int(y.sum()), int((1 - y).sum()))
+    terms = [names[j] for j in toxicity.choose_terms(found, ranked)]
+    known = set(terms)
+
+    def matrix(ids):
+        votes, facts = [], []
+        for i in ids:
+            words = toxicity.words_of(texts[i])
+            # The whole word if it is a term, else its longest beginning that is one.
+            of_words = [max(set(toxicity.terms_of(w)) & known, key=lambda t: (t[0] == "=", len(t)), default=None) for w in words]
+            hits = sum(t is not None for t in of_words)
+            patterns = toxicity.patterns_of(texts[i], words)
+            some = set(of_words)
+            signs = [a > b for a, b in zip(patterns, toxicity.THRESHOLDS)] + [hits >= k for k in toxicity.SEVERAL]
+            votes.append([*(float(t in some) for t in terms), *map(float, signs)])
+            facts.append([len(words), hits, *patterns])
+        return np.array(votes), np.array(facts)
+
+    every, every_facts = matrix(texts)
+    votes, facts = matrix([i for i, _ in sample])
+    model = toxicity.learn(y, votes, facts, terms, over_all(every))
+    want = dict(zip(texts, model.score(every, every_facts)))
+    got = {r["doc_id"]: r["score"] for r in op10_toxicity(spark, SF).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_quality_query_against_plain_loops(spark, tables):
+    from keyloom.llm.queries import op7_quality
+
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in tables[0].collect()}
+    sample = sample_of(tables, "quality")
+    forest = gbdt.fit(np.array([quality.statistics(texts[i]) for i, _ in sample]), np.array([v for _, v in sample], float))
+    want = {i: forest.score(np.array([quality.statistics(t)]))[0] for i, t in texts.items()}
+    got = {r["doc_id"]: r["score"] for r in op7_quality(spark, SF).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
+
+
+def test_equal_evidence_takes_the_shortest_term(tables):
+    with_toxic, with_clean = np.array([50, 50, 50, 1]), np.array([0, 0, 0, 0])
+    assert toxicity.ranked_terms(["longer", "abcde", "abcdd", "rare"], with_toxic, with_clean, 500, 1000) == [2, 1, 0]
+    assert toxicity.choose_terms([[0, 1], [0, 1, 2], [2]], [2, 1, 0]) == [2, 1]
