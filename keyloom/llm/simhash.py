@@ -1,7 +1,7 @@
 """SimHash near-duplicate detection: fingerprints, pigeonhole blocks, verified Hamming links, components.
 
 Fingerprints are computed where the text is read, so only (doc_id, 64 bits) moves. Equal fingerprints collapse to one
-row before any blocking. Two fingerprints within ``radius`` bits agree on at least ``blocks - radius`` of ``blocks``
+row before any blocking, and every join on a key that many rows can share deals these rows over ``SALTS`` tasks. Two fingerprints within ``radius`` bits agree on at least ``blocks - radius`` of ``blocks``
 blocks, so keys made of every choice of that many blocks put each close pair into some common bucket. A bucket is never
 expanded into pairs: it yields the edges of a spanning forest found by search over verified Hamming distances, at most
 one per member. A bucket over ``CELL`` members is dealt into cells holding two chunks each, every pair of chunks once, so
@@ -14,7 +14,10 @@ bands of MinHash values, and a link is verified on the shingle sets themselves.
 one component are looked at, so a large group of copies crosses the network a few times and not once a band.
 
 Nulls and empty texts have no words: fingerprint zero, linked like any other. A null doc_id keeps its row; it does not
-take part in the minimum that names a component. Repeated rows are returned as often as they occur.
+take part in the minimum that names a component. Repeated rows are returned as often as they occur; ties do not arise, as ids
+name components. An empty table gives no rows. Texts of any length are hashed whole. Columns beside the two that are read do
+not matter, also where their names differ from these only in case. In the pipeline's stage rows are known by two hashes over
+all their columns: of rows that are equal in id and text but not in another column one stays, of equal rows too.
 """
 
 from __future__ import annotations
@@ -35,12 +38,12 @@ from .common import map_texts, released
 
 SHINGLE = 4
 RADIUS = 4
-#: Blocks of a fingerprint. Six give 15 keys of 21 bits: buckets stay small up to some ten million different prints. Eight
-#: give 70 keys of 32 bits, for ten thousand millions. The result is the same for any number over the radius.
-BLOCKS = 6
+#: Blocks of a fingerprint. Seven give 35 keys of some 27 bits: of 10^10 different prints, some 75 share a bucket by chance.
+#: The result is the same for any number over the radius.
+BLOCKS = 7
 #: Members of one chunk of a hot bucket.
 CELL = 16_384
-#: Tasks among which a hub's edges are dealt.
+#: Tasks among which the rows of one key are dealt.
 SALTS = 8
 #: Hashes whose bits are counted at once.
 _CHUNK = 65_536
@@ -120,6 +123,16 @@ def spanning_edges(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray
     return (np.concatenate(members), np.concatenate(roots)) if members else (none, none)
 
 
+def _dealt(df: DataFrame, by: str) -> DataFrame:
+    """Rows of one key get different salts, by another column."""
+    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _for_all(df: DataFrame) -> DataFrame:
+    """A row for each salt, to be joined with dealt rows."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _cells(member: str, cell: int) -> F.Column:
     """Cells of a bucket of ``n`` members that one member is dealt to: its chunk with every chunk."""
     chunks = F.ceil(F.col("n") / cell).cast("int")
@@ -136,7 +149,7 @@ def close_edges(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, c
     keys = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)])
     keyed = prints.select("fp", F.explode(keys).alias("key")).select("key.k", "key.bits", "fp")
     crowded = keyed.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(crowded, ["k", "bits"]).select("k", "bits", "fp", F.explode(_cells("fp", cell)).alias("cell"))
+    dealt = _dealt(keyed, "fp").join(_for_all(crowded), ["k", "bits", "salt"]).select("k", "bits", "fp", F.explode(_cells("fp", cell)).alias("cell"))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = dealt.repartition(parts, "k", "bits", "cell").groupBy("k", "bits", "cell").agg(F.collect_list("fp").alias("fps")).select("fps")
 
@@ -159,7 +172,6 @@ def components(edges: DataFrame) -> DataFrame:
     other end, so a hub's edges spread over ``SALTS`` tasks. Each round's edges are written to the shared folder, so a
     lost executor costs one round at most.
     """
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
 
     def signature(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
@@ -169,10 +181,9 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        salted = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-        large = salted.join(least.withColumn("salt", F.explode(salts)), ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _dealt(both, "v").join(_for_all(least), ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u")
+        small = _dealt(large, "v").join(_for_all(small_least), ["u", "salt"])
         after = (
             small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).distinct()
         )
@@ -184,21 +195,20 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("u", F.col("v").alias("root"))
 
 
-def _roots(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """(fp, least_id, root) of distinct prints: the smallest id with the print, and its component's smallest print."""
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(close_edges(distinct.select("fp"), radius, blocks))
-    named = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    return materialize(named, "named")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS, **cols: str) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per document."""
     prints = materialize(fingerprints(docs, shingle, **cols), "prints")
-    named = _roots(prints, radius, blocks)
-    classes = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_print = named.join(classes, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct")
+    roots = components(close_edges(distinct.select("fp"), radius, blocks))
+    named = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root"))
+    # A print that one document has and no other is near to names its document's component by itself.
+    classes = named.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("members")).where("members > 1")
+    shared = _dealt(named.select("fp", "root"), "fp").join(_for_all(classes), ["root", "salt"]).select("fp", "component_id", F.lit(True).alias("shared"))
+    # By position, as a null id has no hash of its own to spread a hot print's rows.
+    spread = prints.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    joined = spread.join(_for_all(shared), ["fp", "salt"], "left")
+    component = F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
 def shingle_set(text: bytes, shingle: int = STAGE_SHINGLE) -> np.ndarray:
@@ -319,16 +329,21 @@ def _similar_roots(small: DataFrame, prints: DataFrame, shingle: int, similarity
     return components(roots.select("u", F.col("root").alias("v")).union(more).distinct())
 
 
+def _row_key(docs: DataFrame) -> F.Column:
+    """Two hashes over all columns that can be hashed."""
+    known = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.struct(F.xxhash64(*known).alias("a"), F.xxhash64(F.lit("twin"), *known[::-1]).alias("b"))
+
+
 def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY, cell: int = SET_CELL) -> DataFrame:
     """The rows of ``docs``, all columns, of one document a component: that with the smallest id, null ids last.
 
-    Documents are linked if their shingle sets have ``similarity`` or more. Rows are known by a hash of id and text; of
-    rows equal in both, one stays.
+    Documents are linked if their shingle sets have ``similarity`` or more.
     """
     import xxhash
 
     key = next(f"key{i}" for i in range(len(docs.columns) + 1) if f"key{i}" not in docs.columns)
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn(key, _row_key(docs))
     small = keyed.select(F.struct(F.col("doc_id").alias("id"), F.col(key).alias("key")).alias("doc_id"), "text")
 
     def rows(batch: list[bytes]) -> list[list]:
@@ -339,4 +354,7 @@ def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float =
     roots = _similar_roots(small, prints, shingle, similarity, cell)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     firsts = prints.select("id", "key", "node").join(roots, F.col("node") == F.col("u"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(first.alias("first"))
-    return keyed.join(firsts.select(F.col("first.key").alias(key)), key, "left_semi").dropDuplicates([key]).drop(key)
+    kept = firsts.select(F.col("first.key.a").alias("_a"), F.col("first.key.b").alias("_b"))
+    found = keyed.join(kept, (F.col(f"{key}.a") == F.col("_a")) & (F.col(f"{key}.b") == F.col("_b")), "left_semi")
+    # What is left of equal rows is equal, so it does not matter which one stays.
+    return found.dropDuplicates([key]).drop(key)

@@ -43,6 +43,18 @@ def test_whole_query_against_brute_force(docs):
     assert sorted((tuple(r) for r in simhash.near_duplicates(docs).collect()), key=key) == want
 
 
+def test_one_print_of_most_rows(spark):
+    """Empty texts without an id, mass copies, and prints near to them."""
+    rnd = random.Random(4)
+    text = " ".join("w%d" % rnd.randrange(1000) for _ in range(300))
+    rows = [(None, "")] * 200 + [(i, " ") for i in range(50, 250)] + [(i, text) for i in range(1000, 1400)] + [(7, text + " w1"), (2000, "alone here")]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    prints = {t: brute_print(t) for _, t in rows}
+    assert (prints[text] ^ prints[text + " w1"]).bit_count() <= 4
+    want = [(i, f"{prints[t]:016x}", 50 if not t.strip() else 2000 if i == 2000 else 7) for i, t in rows]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
 def test_fingerprint_hash_is_sparks(spark):
     shingle = spark.range(1).select(F.xxhash64(F.lit("a b c d"))).first()[0]
     assert simhash.fingerprint(b"A b\tc\nD") == shingle & (1 << 64) - 1
@@ -108,6 +120,16 @@ def test_keep_one_keeps_one_row_of_each_component(docs):
     assert {r["doc_id"] for r in kept.collect()} >= {4, 5, 6}
 
 
+def test_rows_that_differ_in_another_column_only(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, None), (2, text, "c"), (3, "other text of its own here", "d"), (3, "other text of its own here", "d")]
+    rows += [(None, "third text, no id at all", "e"), (None, "third text, no id at all", "f")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept if r["doc_id"]) == [(1, text), (3, rows[4][1])]
+    assert [r["text"] for r in kept if r["doc_id"] is None] == [rows[6][1]]
+    assert all(tuple(r) in rows for r in kept)
+
+
 def jaccard(a, b):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in (a, b)]
     return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
