@@ -31,16 +31,21 @@ def redis_slot_of(key: bytes) -> int:
     return binascii.crc_hqx(tag_of(key, False), 0) % REDIS_SLOTS
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _tag(key: Column, empty_counts: bool) -> Column:
     # Byte positions: hex has two characters a byte, so a match counts only at odd places.
     positions = F.sequence(F.lit(1), F.greatest(F.length(key), F.lit(1)))
     is_byte = lambda code: lambda i: F.substring(key, i, F.lit(1)) == F.lit(code)
-    open_ = F.coalesce(F.get(F.filter(positions, is_byte(b"{")), 0), F.lit(0))
-    close = F.coalesce(F.get(F.filter(F.filter(positions, is_byte(b"}")), lambda i: i > open_), 0), F.lit(0))
-    has = (open_ > 0) & (close > open_)
-    if not empty_counts:
-        has = has & (close > open_ + 1)
-    return F.when(has, F.substring(key, open_ + 1, close - open_ - 1)).otherwise(key)
+
+    def between(open_: Column) -> Column:
+        close = F.coalesce(F.get(F.filter(F.filter(positions, is_byte(b"}")), lambda i: i > open_), 0), F.lit(0))
+        return _bound(close, lambda c: F.when((open_ > 0) & (c > open_ + (0 if empty_counts else 1)), F.substring(key, open_ + 1, c - open_ - 1)).otherwise(key))
+
+    return _bound(F.coalesce(F.get(F.filter(positions, is_byte(b"{")), 0), F.lit(0)), between)
 
 
 def hash_tag(key: Column, empty_counts: bool = False) -> Column:
@@ -63,12 +68,17 @@ def _crc16_table() -> list[int]:
 
 
 def redis_slot(key: Column) -> Column:
-    """CRC-16 (polynomial 0x1021) of the hash tag, a byte at a time over a table, all in the JVM."""
-    tag = hash_tag(key, False)
+    """CRC-16 (polynomial 0x1021) of the hash tag, a byte at a time over a table, all in the JVM.
+
+    The tag is cut out once: its bytes are bound as an array of hexadecimal pairs.
+    """
     table = F.array(*[F.lit(x) for x in _crc16_table()])
-    byte_at = lambda i: F.conv(F.hex(F.substring(tag, i, F.lit(1))), 16, 10).cast("int")
-    step = lambda crc, i: F.shiftleft(crc, 8).bitwiseAND(0xFFFF).bitwiseXOR(
-        F.element_at(table, F.shiftright(crc, 8).bitwiseXOR(byte_at(i)).bitwiseAND(255) + 1)
-    )
-    crc = F.aggregate(F.sequence(F.lit(1), F.length(tag)), F.lit(0), step)
-    return F.when(F.length(tag) == 0, 0).otherwise(crc % REDIS_SLOTS).cast("int")
+    pairs = F.regexp_extract_all(F.hex(hash_tag(key, False)), F.lit("(..)"))
+    zero = F.struct(F.lit(0).alias("crc"), table.alias("table"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        byte = F.conv(pair, 16, 10).cast("int")
+        index = F.shiftright(acc["crc"], 8).bitwiseXOR(byte).bitwiseAND(255) + 1
+        return F.struct(F.shiftleft(acc["crc"], 8).bitwiseAND(0xFFFF).bitwiseXOR(F.element_at(acc["table"], index)).alias("crc"), acc["table"].alias("table"))
+
+    return (F.aggregate(pairs, zero, step)["crc"] % REDIS_SLOTS).cast("int")

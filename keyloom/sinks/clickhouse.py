@@ -26,8 +26,8 @@ RAW, MARKERS, VIEW = "redis_records_raw", "import_batches_completed", "redis_rec
 INSERT_ROWS, TIMEOUT_S = 1_000_000, 60
 # Column types by name (fixed values of the table format).
 COLUMN_TYPES = {
-    "cluster": "String", "batch": "DateTime64(9)", "instance": "String", "db": "UInt64", "key": "String", "type": "LowCardinality(String)",
-    "member_count": "UInt64", "rdb_size": "UInt64", "encoding": "LowCardinality(String)", "expire_at": "Nullable(DateTime64(3))",
+    "cluster": "String", "batch": "DateTime64(9, 'UTC')", "instance": "String", "db": "UInt64", "key": "String", "type": "LowCardinality(String)",
+    "member_count": "UInt64", "rdb_size": "UInt64", "encoding": "LowCardinality(String)", "expire_at": "Nullable(DateTime64(3, 'UTC'))",
     "idle_seconds": "Nullable(UInt64)", "freq": "Nullable(UInt8)", "codis_slot": "Nullable(UInt16)", "redis_slot": "Nullable(UInt16)",
 }
 ARROW = pa.schema(
@@ -89,7 +89,7 @@ def ddl() -> list[str]:
     last = f"SELECT cluster, max(batch) FROM {MARKERS} GROUP BY cluster"
     return [
         f"CREATE TABLE {RAW} ({columns}) ENGINE = ReplacingMergeTree {keep.format('cluster, batch, instance, db, key')}",
-        f"CREATE TABLE {MARKERS} (cluster String, batch DateTime64(9)) ENGINE = ReplacingMergeTree {keep.format('cluster, batch')}",
+        f"CREATE TABLE {MARKERS} (cluster String, batch {COLUMN_TYPES['batch']}) ENGINE = ReplacingMergeTree {keep.format('cluster, batch')}",
         f"CREATE VIEW {VIEW} AS SELECT * FROM {RAW} WHERE (cluster, batch) IN ({last})",
     ]
 
@@ -104,6 +104,17 @@ def ensure_tables(server: ClickHouse, create: bool = False) -> None:
         raise ClickHouseError("the tables do not exist; pass create to make them")
     for statement in ddl() if missing else []:
         server.request(statement)
+    if not missing:
+        _check_columns(server, RAW, COLUMN_TYPES)
+        _check_columns(server, MARKERS, {n: COLUMN_TYPES[n] for n in ("cluster", "batch")})
+
+
+def _check_columns(server: ClickHouse, table: str, wanted: dict[str, str]) -> None:
+    """Every column is there under its type; a table may have others."""
+    found = dict(r.split("\t", 1) for r in server.rows("SELECT concat(name, '\\t', type) FROM system.columns WHERE database = currentDatabase() AND table = {t:String}", t=table))
+    wrong = [f"{n} is {found.get(n, 'missing')}, not {t}" for n, t in wanted.items() if found.get(n) != t]
+    if wrong:
+        raise ClickHouseError(f"{table}: {'; '.join(wrong)}")
 
 
 def _outgoing(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,7 +165,7 @@ def write(records: DataFrame, server: ClickHouse, cluster: str, batch: str, crea
 
 def latest(server: ClickHouse, cluster: str) -> str:
     """The last completed batch, as RFC 3339."""
-    found = server.rows(f"SELECT formatDateTime(max(batch), '%Y-%m-%dT%H:%i:%S.%fZ') FROM {MARKERS} WHERE cluster = {{c:String}} HAVING count() > 0", c=cluster)
+    found = server.rows(f"SELECT formatDateTime(max(batch), '%Y-%m-%dT%H:%i:%S.%fZ', 'UTC') FROM {MARKERS} WHERE cluster = {{c:String}} HAVING count() > 0", c=cluster)
     if not found:
         raise ClickHouseError(f"no completed batch of {cluster}")
     return found[0]

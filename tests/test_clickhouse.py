@@ -20,6 +20,7 @@ class Fake:
 
     def __init__(self, tables=()):
         self.tables, self.inserts, self.markers, self.calls, self.auth = set(tables), [], [], [], set()
+        self.types = {}  # columns that are not as they should be
         fake = self
 
         class Handler(BaseHTTPRequestHandler):
@@ -57,7 +58,10 @@ class Fake:
         if sql.startswith(f"INSERT INTO {ch.MARKERS}"):
             self.markers.append((options["param_c"], options["param_b"]))
             return b""
+        if "system.columns" in sql:
+            return "".join(f"{n}\t{self.types.get(n, t)}\n" for n, t in ch.COLUMN_TYPES.items()).encode()
         if "formatDateTime" in sql:
+            assert "'UTC'" in sql
             return "".join(b + "\n" for c, b in self.markers if c == options["param_c"]).encode()
         rows = pa.concat_tables(self.inserts)
         if "DISTINCT instance" in sql:
@@ -94,6 +98,18 @@ def test_partial_tables_and_refusals():
         ch.ClickHouse(fake.url).request(f"INSERT INTO {ch.RAW} FORMAT ArrowStream", b"junk")
 
 
+def test_columns_are_compared():
+    fake = Fake([ch.RAW, ch.MARKERS, ch.VIEW])
+    ch.ensure_tables(ch.ClickHouse(fake.url))
+    fake.types["db"] = "UInt32"
+    with pytest.raises(ch.ClickHouseError, match="db is UInt32, not UInt64"):
+        ch.ensure_tables(ch.ClickHouse(fake.url))
+
+
+def test_times_are_in_utc():
+    assert all("DateTime64" not in s or "'UTC'" in s for s in ch.ddl())
+
+
 def test_proxy():
     """A plain proxy gets the whole address."""
     fake = Fake()
