@@ -156,6 +156,8 @@ def run_dump(spark: SparkSession, args) -> str:
         records = records.coalesce(args.concurrency)
     metrics = Metrics()
     endpoint = serve(metrics, args.prometheus) if args.prometheus else None
+    if endpoint:
+        records = metrics.observed(records, batch)
     try:
         if args.sink == "into-clickhouse":
             clickhouse.write(records, clickhouse.ClickHouse(args.url, args.proxy_url), cluster, batch, args.auto_create_tables)
@@ -164,10 +166,7 @@ def run_dump(spark: SparkSession, args) -> str:
             append_to_tables(spark, records, cluster, batch, instances or [], args.auto_create_tables, args.database)
             return f"{cluster} {batch}"
         store = Store(spark, args.dir)
-        out = store.write(records, cluster, batch, instances, args.compression)
-        if endpoint:
-            metrics.add_records(store.read(cluster, batch), batch)
-        return out
+        return store.write(records, cluster, batch, instances, args.compression)
     finally:
         if endpoint:
             endpoint.shutdown()
@@ -179,13 +178,15 @@ def run_report(spark: SparkSession, args) -> str:
     from keyloom.sinks import clickhouse
     from keyloom.sinks.batches import Store
 
+    summary = None
     if args.url:
         clickhouse.register(spark)
         options = {"url": args.url, "proxy": args.proxy_url, "cluster": args.cluster} | ({"batch": args.batch} if args.batch else {})
         records = spark.read.format("clickhouse_records").options(**options).load()
     else:
-        records = Store(spark, args.dir).read(args.cluster, args.batch)
-    report = build_report(records, args.cluster, args.batch if args.url else None)
+        store = Store(spark, args.dir)
+        records, summary = store.read(args.cluster, args.batch), store.summary(args.cluster, args.batch)
+    report = build_report(records, args.cluster, args.batch if args.url else None, summary=summary)
     suffix = args.format.rpartition("-")[2]
     made = {"html": render.render_page, "json": lambda r: r.to_json(readable=True), "prefixes-csv": render.prefixes_csv, "keys-csv": render.keys_csv}
     path = args.output or report_name(args.cluster, report.batch, suffix)

@@ -30,7 +30,7 @@ WITH parts AS (
 ),
 records AS (
   SELECT '{CLUSTER}' AS cluster, '{BATCH}' AS batch, 'node-' || CAST(n % 4 AS VARCHAR) AS instance, db, key, type, member_count, rdb_size, encoding,
-         expire_at, CAST(n % 1024 AS INTEGER) AS codis_slot, CAST(CASE WHEN type = 'hash' THEN n % 4 ELSE NULL END AS INTEGER) AS redis_slot
+         expire_at, CAST((n // 4) % 1024 AS INTEGER) AS codis_slot, CAST(CASE WHEN type = 'hash' THEN n % 4 ELSE NULL END AS INTEGER) AS redis_slot
   FROM parts WHERE key IS NOT NULL AND rdb_size IS NOT NULL
 )
 """
@@ -69,7 +69,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = reduce(DataFrame.unionByName, parts).where("key is not null and rdb_size is not null")
     return every.select(
         F.lit(CLUSTER).alias("cluster"), F.lit(BATCH).alias("batch"), F.concat(F.lit("node-"), (c("n") % 4).cast("string")).alias("instance"), "db", "key",
-        "type", "member_count", "rdb_size", "encoding", "expire_at", (c("n") % 1024).cast("int").alias("codis_slot"),
+        "type", "member_count", "rdb_size", "encoding", "expire_at", F.expr("n div 4 % 1024").cast("int").alias("codis_slot"),
         F.when(c("type") == "hash", c("n") % 4).cast("int").alias("redis_slot"),
     )
 

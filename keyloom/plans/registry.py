@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import io
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keyloom.functions import formatting, slots
 from keyloom.operators import aggregates, prefixes
 from keyloom.plans.projection import BATCH, BIG_OTHER, BIG_STRING, CLUSTER, MARKERS_SQL, OLD_BATCH, SQL, markers, records
-from keyloom.session import work_dir
+from keyloom.session import materialize, ship, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 WHITELIST = ["doc:", "order:", "conv:"]
@@ -43,6 +47,19 @@ def _shown(df: DataFrame) -> DataFrame:
     return df.select(*[_text(f.name) if f.dataType.simpleString() == "binary" else F.col(f.name) for f in df.schema])
 
 
+def _placed(df: DataFrame, place: str = "place") -> DataFrame:
+    """Rows of an ordered result with their place in it, so that an oracle compares the order too.
+
+    The result is written once: rows are numbered within their partition, and partitions by their sizes.
+    """
+    tagged = materialize(df.withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_part", F.shiftright("_at", 33))
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    # One row a partition goes through this window.
+    starts = tagged.groupBy("_part").agg(F.count("*").alias("n")).select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    within = F.col("_at") - F.shiftleft("_part", 33)
+    return tagged.join(starts, "_part").select(*df.columns, (F.col("_start") + within + 1).alias(place))
+
+
 _COLUMNS = "cluster, batch, instance, db, key, type, member_count, rdb_size, encoding, CAST(expire_at AS VARCHAR) AS expire_at, codis_slot, redis_slot"
 
 
@@ -73,24 +90,25 @@ def expired_records(spark, sf_dir):
     return _shown(aggregates.expired(records(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz")).select("key", "type", "rdb_size"))
 
 
-def _total(by: str, name: str | None = None) -> str:
+def _total(by: str, order: str, name: str | None = None) -> str:
     alias = f"{by} AS {name}" if name else by
-    return f"SELECT {alias}, count(*) AS key_count, CAST(sum(rdb_size) AS BIGINT) AS total_size FROM records GROUP BY {by}"
+    found = f"SELECT {alias}, count(*) AS key_count, CAST(sum(rdb_size) AS BIGINT) AS total_size FROM records GROUP BY {by}"
+    return f"SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM ({found})"
 
 
-@query(_total("db"))
+@query(_total("db", "db"))
 def db_aggregates(spark, sf_dir):
-    return aggregates.by_db(records(spark, sf_dir))
+    return _placed(aggregates.by_db(records(spark, sf_dir)))
 
 
-@query(_total("type", "data_type"))
+@query(_total("type", "total_size DESC, data_type", "data_type"))
 def type_aggregates(spark, sf_dir):
-    return aggregates.by_type(records(spark, sf_dir))
+    return _placed(aggregates.by_type(records(spark, sf_dir)))
 
 
-@query(_total("instance"))
+@query(_total("instance", "total_size DESC, instance"))
 def instance_aggregates(spark, sf_dir):
-    return aggregates.by_instance(records(spark, sf_dir))
+    return _placed(aggregates.by_instance(records(spark, sf_dir)))
 
 
 @query("SELECT count(*) AS key_count, CAST(sum(rdb_size) AS BIGINT) AS total_size FROM records")
@@ -135,9 +153,9 @@ def share_by_instance(spark, sf_dir):
 _TOP = "key, rdb_size, member_count, type, instance, db, encoding"
 
 
-@query(f"SELECT {_TOP} FROM records ORDER BY rdb_size DESC, key, instance, db LIMIT 100")
+@query(f"SELECT {_TOP}, row_number() OVER (ORDER BY rdb_size DESC, key, instance, db) AS place FROM records ORDER BY place LIMIT 100")
 def top_keys(spark, sf_dir):
-    return _shown(aggregates.top_keys(records(spark, sf_dir)).drop("expire_at"))
+    return _placed(_shown(aggregates.top_keys(records(spark, sf_dir)).drop("expire_at")))
 
 
 @query(f"SELECT {_TOP} FROM (SELECT * FROM records ORDER BY rdb_size DESC, key, instance, db LIMIT 100) WHERE contains(key, 'doc:') AND type = 'string'")
@@ -199,12 +217,13 @@ found AS (SELECT p AS prefix, CAST(ts AS BIGINT) AS total_size, kc AS key_count
 
 @query("SELECT * FROM found", _PREFIXES)
 def top_prefixes(spark, sf_dir):
-    return _shown(prefixes.by_explosion(records(spark, sf_dir)))
+    return _shown(prefixes.by_blocks(records(spark, sf_dir)))
 
 
 @query("SELECT * FROM found", _PREFIXES)
-def top_prefixes_blocks(spark, sf_dir):
-    return _shown(prefixes.by_blocks(records(spark, sf_dir)))
+def top_prefixes_explosion(spark, sf_dir):
+    """The plan for short keys, as a check of the one above."""
+    return _shown(prefixes.by_explosion(records(spark, sf_dir)))
 
 
 @query("SELECT * FROM found", _PREFIXES)
@@ -327,10 +346,25 @@ def adhoc_sql_view(spark, sf_dir):
     )
 
 
-@query("SELECT count(DISTINCT cluster) = 1 AND count(DISTINCT batch) = 1 AS consistent FROM records")
+@query(
+    "SELECT 'one' AS given, count(DISTINCT cluster) = 1 AND count(DISTINCT batch) = 1 AS consistent, min(cluster) AS cluster, min(batch) AS batch FROM records "
+    "UNION ALL SELECT 'two', count(DISTINCT cluster) = 1 AND count(DISTINCT batch) = 1, NULL, NULL FROM two",
+    _TWO,
+)
 def batch_consistency_check(spark, sf_dir):
-    found = records(spark, sf_dir).agg(F.min("cluster").alias("a"), F.max("cluster").alias("b"), F.min("batch").alias("c"), F.max("batch").alias("d"))
-    return found.select(((F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))).alias("consistent"))
+    """The batch that all records are of, and the refusal of records of two batches."""
+    from keyloom.sinks.batches import BatchError, check_consistency
+
+    now = records(spark, sf_dir)
+    rows = []
+    for given, found in (("one", now), ("two", _two_batches(spark, sf_dir))):
+        times = found.withColumn("batch", F.to_timestamp("batch")).withColumn("batch_ns", F.unix_micros("batch") * 1000)
+        try:
+            cluster, ns = check_consistency(times)
+            rows.append((given, True, cluster, formatting.format_rfc3339_ns(ns)))
+        except BatchError:
+            rows.append((given, False, None, None))
+    return spark.createDataFrame(rows, "given string, consistent boolean, cluster string, batch string")
 
 
 @query(
@@ -343,12 +377,12 @@ def dedupe_latest(spark, sf_dir):
     return _shown(aggregates.deduplicate(twice, F.col("rdb_size")).select("instance", "db", "key", "rdb_size"))
 
 
-@query("SELECT instance, db, key, rdb_size FROM records")
+@query("SELECT instance, db, key, rdb_size, row_number() OVER (ORDER BY db, key, instance, rdb_size) AS place FROM records")
 def kway_merge_sorted(spark, sf_dir):
-    now = records(spark, sf_dir)
+    """Four parts, each in its own order, as one ordered whole: every row's place in it is compared."""
+    now = records(spark, sf_dir).select("instance", "db", "key", "rdb_size")
     parts = [now.where(F.col("instance") == f"node-{i}") for i in range(4)]
-    return _shown(aggregates.merge_sorted(parts, "db", "key").select("instance", "db", "key", "rdb_size"))
-
+    return _placed(_shown(aggregates.merge_sorted(parts, "db", "key", "instance", "rdb_size")))
 
 
 @query(
@@ -366,12 +400,13 @@ def formatted_keys(spark, sf_dir):
 
 
 @query(
-    "SELECT type, CASE WHEN starts_with(b, 'order') THEN 'order' ELSE '' END AS common FROM (SELECT type, min(key) AS a, max(key) AS b FROM records WHERE type = 'hash' GROUP BY type)"
+    "SELECT type, left(a, (SELECT coalesce(max(i), 0) FROM range(1, 1000) t(i) WHERE i <= length(a) AND left(a, i) = left(b, i))) AS common "
+    "FROM (SELECT type, min(key) AS a, max(key) AS b FROM records GROUP BY type)"
 )
 def common_prefix_by_type(spark, sf_dir):
-    ends = records(spark, sf_dir).where("type = 'hash'").groupBy("type").agg(F.min("key").alias("a"), F.max("key").alias("b"))
-    common = formatting.common_prefix_column(F.col("a"), F.col("b")).cast("string")
-    return ends.select("type", F.substring(common, 1, 5).alias("common"))
+    """The longest common prefix of each type's keys: that of its least and its greatest key."""
+    ends = records(spark, sf_dir).groupBy("type").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    return ends.select("type", formatting.common_prefix_column(F.col("a"), F.col("b")).cast("string").alias("common"))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -413,44 +448,121 @@ def parquet_scan_by_db(spark, sf_dir):
     "SELECT 'db' AS part, CAST(db AS VARCHAR) AS name, count(*) AS key_count, CAST(sum(rdb_size) AS BIGINT) AS total_size FROM records GROUP BY db "
     "UNION ALL SELECT 'type', type, count(*), CAST(sum(rdb_size) AS BIGINT) FROM records GROUP BY type "
     "UNION ALL SELECT 'instance', instance, count(*), CAST(sum(rdb_size) AS BIGINT) FROM records GROUP BY instance "
-    "UNION ALL SELECT 'prefix', prefix, key_count, total_size FROM found)",
+    "UNION ALL SELECT 'prefix', prefix, key_count, total_size FROM found "
+    "UNION ALL SELECT 'top', key, member_count, rdb_size FROM (SELECT * FROM records ORDER BY rdb_size DESC, key, instance, db LIMIT 100) "
+    f"UNION ALL SELECT 'big', key, 1, rdb_size FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rdb_size DESC, key, instance, db) AS rn "
+    f"FROM records WHERE {_BIG}) WHERE rn = 1 "
+    f"UNION ALL SELECT 'skew', 'codis', CAST(skewed AS BIGINT), 0 FROM ({_skew('codis_slot')}) "
+    f"UNION ALL SELECT 'skew', 'redis', CAST(skewed AS BIGINT), 0 FROM ({_skew('redis_slot')}))",
     _PREFIXES,
 )
 def full_report(spark, sf_dir):
-    """The report's totals and prefixes, as rows."""
+    """All parts of the report, as rows."""
     import base64
 
     from keyloom.plans.report import build_report
 
-    found = build_report(_to_schema(records(spark, sf_dir)))
+    found = build_report(_to_schema(records(spark, sf_dir)), big_string=BIG_STRING, big_other=BIG_OTHER)
     rows = [("db", str(r["db"]), r["key_count"], r["total_size"]) for r in found.db_aggregates]
     rows += [("type", r["data_type"], r["key_count"], r["total_size"]) for r in found.type_aggregates]
     rows += [("instance", r["instance"], r["key_count"], r["total_size"]) for r in found.instance_aggregates]
+    key = lambda r: base64.b64decode(r["key_base64"]).decode()
     rows += [("prefix", base64.b64decode(r["prefix_base64"]).decode(), r["key_count"], r["total_size"]) for r in found.top_prefixes]
+    rows += [("top", key(r), r["member_count"], r["rdb_size"]) for r in found.top_keys]
+    issues = found.cluster_issues
+    rows += [("big", key(r), 1, r["rdb_size"]) for r in issues["big_keys"]]
+    rows += [("skew", "codis", int(issues["codis_slot_skew"]), 0), ("skew", "redis", int(issues["redis_cluster_slot_skew"]), 0)]
     return spark.createDataFrame(rows, "part string, name string, key_count long, total_size long")
 
 
-@query("SELECT url AS key, length(html) AS n FROM pages")
+#: Bytes of entries that one snapshot of the query below holds, about.
+_DUMP_BYTES = 8 << 20
+
+
+def _dumps(entries: DataFrame) -> DataFrame:
+    """(name, content): snapshots that every task makes of its own keys (key, kind, members)."""
+    from keyloom.sources import rdb_writer as w
+
+    ship(entries.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def snapshot() -> pa.RecordBatch:
+            out = io.BytesIO()
+            w.snapshot(out, held)
+            return pa.RecordBatch.from_arrays([pa.array([f"part-{part}-{made}.rdb"]), pa.array([out.getvalue()], pa.binary())], names=["name", "content"])
+
+        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+        for batch in batches:
+            for key, kind, members in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                value = members[0] if kind == w.STRING else members if kind in (w.LIST, w.SET) else [(m, b"1") for m in members] if kind == w.HASH else [(m, 1.0) for m in members]
+                held.append(w.entry(kind, key, value))
+                size += len(held[-1])
+                if size >= _DUMP_BYTES:
+                    yield snapshot()
+                    made, held, size = made + 1, [], 0
+        if held:
+            yield snapshot()
+
+    return entries.mapInArrow(run, "name string, content binary")
+
+
+_HEAD = "CASE WHEN {0} < 64 THEN 1 WHEN {0} < 16384 THEN 2 ELSE 5 END"
+_SIZED = f"(octet_length(encode({{0}})) + {_HEAD.format('octet_length(encode({0}))')})"
+
+
+@query(
+    "SELECT key, type, encoding, count(*) AS member_count, CAST(1 + "
+    + _SIZED.format("key")
+    + " + CASE WHEN type = 'string' THEN 0 ELSE "
+    + _HEAD.format("count(*)")
+    + " END + sum("
+    + _SIZED.format("member")
+    + " + CASE type WHEN 'hash' THEN 2 WHEN 'zset' THEN 8 ELSE 0 END) AS BIGINT) AS rdb_size FROM dumped GROUP BY key, type, encoding",
+    "dumped AS (SELECT url AS key, 'string' AS type, 'raw' AS encoding, html AS member FROM pages WHERE html IS NOT NULL "
+    "UNION ALL SELECT 'conv:' || CAST(conv_id AS VARCHAR), 'list', 'list', text FROM conversations WHERE text IS NOT NULL "
+    "UNION ALL SELECT DISTINCT 'kinds:' || CAST(user_id AS VARCHAR), 'set', 'raw', event_type FROM events "
+    "UNION ALL SELECT 'orders:' || CAST(o_custkey AS VARCHAR), 'hash', 'raw', CAST(o_orderkey AS VARCHAR) || ':' || o_orderstatus FROM orders "
+    "UNION ALL SELECT 'cust:' || CAST(c_nationkey AS VARCHAR), 'zset', 'skip_list', c_name FROM customer)",
+)
 def rdb_file_scan(spark, sf_dir):
-    """Pages written as a snapshot of string keys by Spark tasks, and read back by the decoder."""
-    from keyloom.sources.rdb_source import read_files
-    from keyloom.sources.rdb_writer import string_snapshot
-
-    folder = _scratch(spark, "dumps")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", F.length("html").alias("n"))
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/dump.rdb")
-    out = path.getFileSystem(conf).create(path)
-    dump = io.BytesIO()
-    string_snapshot(dump, ((r["url"].encode(), b"x" * (r["n"] or 0)) for r in pages.toLocalIterator()))
-    out.write(bytearray(dump.getvalue()))
-    out.close()
-    found = read_files(spark, folder, CLUSTER, BATCH)
-    # A record's size has its type byte, key and value with their length bytes.
-    head = lambda n: F.when(n < 64, 1).when(n < 16384, 2).otherwise(5)
-    body = F.col("rdb_size") - 1 - F.length("key") - head(F.length("key"))
-    n = F.when(body - 1 < 64, body - 1).when(body - 2 < 16384, body - 2).otherwise(body - 5)
-    return found.select(_text(), n.cast("long").alias("n"))
+    """Five types of keys with their real values, written as snapshots by Spark tasks and read back by the decoder."""
+    from keyloom.sources import rdb_writer as w
+    from keyloom.sources.rdb_source import read_blobs
+
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    c, text = F.col, lambda name: F.col(name).cast("string")
+    one = lambda df, kind, key, member: df.select(key.alias("key"), F.lit(kind).alias("kind"), member.alias("member")).where("member is not null")
+    rows = [
+        one(read("conversations"), w.LIST, F.concat(F.lit("conv:"), text("conv_id")), c("text")),
+        one(read("events").select("user_id", "event_type").distinct(), w.SET, F.concat(F.lit("kinds:"), text("user_id")), c("event_type")),
+        one(read("orders"), w.HASH, F.concat(F.lit("orders:"), text("o_custkey")), F.concat(text("o_orderkey"), F.lit(":"), c("o_orderstatus"))),
+        one(read("customer"), w.ZSET, F.concat(F.lit("cust:"), text("c_nationkey")), c("c_name")),
+    ]
+    many = reduce(DataFrame.unionByName, rows).groupBy("key", "kind").agg(F.collect_list(c("member").cast("binary")).alias("members"))
+    pages = one(read("pages"), w.STRING, c("url"), c("html")).select("key", "kind", F.array(c("member").cast("binary")).alias("members"))
+    entries = pages.unionByName(many).select(c("key").cast("binary").alias("key"), "kind", "members")
+    found = read_blobs(materialize(_dumps(entries), "dumps"), CLUSTER, BATCH)
+    return found.select(_text(), "type", "encoding", "member_count", "rdb_size")
+
+
+@query("SELECT db, type, instance, count(*) AS key_count, CAST(sum(rdb_size) AS BIGINT) AS total_size FROM records GROUP BY db, type, instance")
+def footer_summary(spark, sf_dir):
+    """Totals of a stored batch from what is kept beside it: no record is read."""
+    from keyloom.sinks.batches import Store
+
+    store = Store(spark, _scratch(spark, "store"))
+    store.write(_to_schema(records(spark, sf_dir)), CLUSTER, BATCH)
+    return store.summary(CLUSTER).where("part = 'totals'").select("db", "type", "instance", "key_count", F.col("rdb_size").alias("total_size"))
+
+
+@query("SELECT count(*) AS rows, true AS small_groups FROM records")
+def footer_row_counts(spark, sf_dir):
+    """Rows of a stored batch, and whether its row groups keep their bound, from the files' footers alone."""
+    from keyloom.sinks.batches import ROW_GROUP, Store
+
+    store = Store(spark, _scratch(spark, "store"))
+    store.write(_to_schema(records(spark, sf_dir)), CLUSTER, BATCH)
+    return store.footers(CLUSTER).agg(F.sum("rows").alias("rows"), (F.max("most_rows") <= ROW_GROUP).alias("small_groups"))
 
 
 def queries() -> dict[str, Query]:

@@ -3,19 +3,45 @@
 Layout: ``<dir>/cluster=<name>/batch=<slug>/`` for records, ``<dir>/completed/`` for markers. A batch is written under a
 name that starts with a dot, which Spark's readers pass over, and renamed when every instance is in it. Renames go
 through the Hadoop file system, so the store may be anywhere Spark writes.
+
+A batch carries its own summary in ``_summary/`` (readers pass over that too): totals by database, type and instance, the largest
+keys, and the instances of each slot that has several. Reports of a stored batch take these from there, so no row is read for
+them. Row groups hold ``ROW_GROUP`` rows, sorted by instance, database and key, so their statistics prune reads by these.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.functions.formatting import batch_slug, format_rfc3339_ns, parse_rfc3339_ns
+from keyloom.operators import aggregates
 from keyloom.schema import MARKER_SCHEMA, RECORD_SCHEMA
 
 COMPRESSIONS = {"zstd": "zstd", "snappy": "snappy", "none": "none", "lz4": "lz4_raw", "gzip": "gzip"}
-#: The order of rows in a batch's files.
+#: The order of rows in a batch's files, and rows of a row group.
 SORT = ("instance", "db", "key")
+ROW_GROUP = 8192
+SUMMARY = "_summary"
+SUMMARY_SCHEMA = T.StructType(
+    [
+        T.StructField("part", T.StringType()),  # totals, top, codis_slot or redis_slot
+        T.StructField("db", T.LongType()),
+        T.StructField("type", T.StringType()),
+        T.StructField("instance", T.StringType()),
+        T.StructField("key_count", T.LongType()),  # of totals; of a slot: its instances
+        T.StructField("rdb_size", T.LongType()),
+        T.StructField("key", T.BinaryType()),
+        T.StructField("member_count", T.LongType()),
+        T.StructField("encoding", T.StringType()),
+        T.StructField("expire_at", T.TimestampType()),
+        T.StructField("slot", T.IntegerType()),
+    ]
+)
 
 
 class BatchError(ValueError):
@@ -51,9 +77,12 @@ class Store:
 
     def write(
         self, records: DataFrame, cluster: str, batch: str, instances: list[str] | None = None, compression: str = "zstd",
-        dedupe: bool = False, rows_per_file: int = 0,
+        dedupe: Column | None = None, rows_per_file: int = 0,
     ) -> str:
-        """Write and complete one batch; returns its directory. Nothing is visible before the rename."""
+        """Write and complete one batch; returns its directory. Nothing is visible before the rename.
+
+        ``dedupe`` orders the rows of one key: the last of them is kept.
+        """
         if compression not in COMPRESSIONS:
             raise BatchError(f"compression {compression!r} is none of {sorted(COMPRESSIONS)}")
         ns = parse_rfc3339_ns(batch)
@@ -63,14 +92,16 @@ class Store:
         made = f"{self.cluster_dir(cluster)}/.making-{batch_slug(ns)}"
         self._fs.delete(self._path(made), True)
         rows = records.select(*RECORD_SCHEMA.fieldNames())
-        if dedupe:
-            rows = rows.dropDuplicates(["cluster", "batch", "instance", "db", "key"])
+        if dedupe is not None:
+            rows = aggregates.deduplicate(rows, dedupe)
         # Keys of a large instance spread over many files; each file is sorted, so row groups prune by db and key.
         sorted_rows = rows.repartition("instance", "db", F.pmod(F.xxhash64("key"), F.lit(64))).sortWithinPartitions(*SORT)
-        writer = sorted_rows.write.option("compression", COMPRESSIONS[compression])
+        writer = sorted_rows.write.option("compression", COMPRESSIONS[compression]).option("parquet.block.row.count.limit", ROW_GROUP)
         if rows_per_file:
             writer = writer.option("maxRecordsPerFile", rows_per_file)
         writer.parquet(made)
+        # From the written rows, so that it is theirs whatever the source; a batch's own files are cheap to scan by column.
+        summarize(self.spark.read.schema(RECORD_SCHEMA).parquet(made)).coalesce(1).write.parquet(f"{made}/{SUMMARY}")
         if not self._fs.rename(self._path(made), self._path(final)):
             raise BatchError(f"cannot rename {made}")
         if instances is None:
@@ -106,6 +137,24 @@ class Store:
         """The records of one batch; files of other writers (nanosecond times, unsigned counts) are converted."""
         return read_records(self.spark, self.files(self.find(cluster, batch)))
 
+    def summary(self, cluster: str, batch: str | None = None) -> DataFrame | None:
+        """The summary of one batch; None if its writer left none."""
+        path = f"{self.find(cluster, batch)}/{SUMMARY}"
+        return self.spark.read.schema(SUMMARY_SCHEMA).parquet(path) if self._exists(path) else None
+
+    def footers(self, cluster: str, batch: str | None = None) -> DataFrame:
+        """(file, rows, row_groups, most_rows) of a batch, from its files' footers alone."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        rows = []
+        for path in self.files(self.find(cluster, batch)):
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(self._path(path), conf))
+            try:
+                groups = [g.getRowCount() for g in reader.getFooter().getBlocks()]
+            finally:
+                reader.close()
+            rows.append((path.rpartition("/")[2], sum(groups), len(groups), max(groups, default=0)))
+        return self.spark.createDataFrame(rows, "file string, rows long, row_groups long, most_rows long")
+
     def markers(self) -> DataFrame:
         if not self._exists(self.markers_dir):
             return self.spark.createDataFrame([], MARKER_SCHEMA)
@@ -129,10 +178,33 @@ class Store:
         return read_records(self.spark, found) if found else self.spark.createDataFrame([], RECORD_SCHEMA)
 
 
+def summarize(records: DataFrame) -> DataFrame:
+    """A batch's summary (SUMMARY_SCHEMA): at most a row a (db, type, instance), ``TOP`` keys, and a row a skewed slot."""
+
+    def part(name: str, rows: DataFrame) -> DataFrame:
+        known = {f.name: F.col(f.name) if f.name in rows.columns else F.lit(None) for f in SUMMARY_SCHEMA} | {"part": F.lit(name)}
+        return rows.select(*[known[f.name].cast(f.dataType).alias(f.name) for f in SUMMARY_SCHEMA])
+
+    slots = lambda c: aggregates.skewed_slots(records, c).withColumnsRenamed({c: "slot", "instances": "key_count"})
+    parts = [
+        part("totals", aggregates.summary(records).withColumnRenamed("total_size", "rdb_size")), part("top", aggregates.top_keys(records)),
+        part("codis_slot", slots("codis_slot")), part("redis_slot", slots("redis_slot")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Record files under RECORD_SCHEMA's types, whoever wrote them."""
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    found = spark.read.parquet(*paths)
+    """Record files under RECORD_SCHEMA's types, whoever wrote them.
+
+    Other writers' nanosecond times can only be read with ``spark.sql.legacy.parquet.nanosAsLong``, which is set if they are met.
+    """
+    try:
+        found = spark.read.parquet(*paths)
+    except AnalysisException as e:
+        if "NANOS" not in str(e):
+            raise
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+        found = spark.read.parquet(*paths)
     if found.schema["batch"].dataType.simpleString() == "bigint":
         found = found.withColumn("batch_ns", F.col("batch")).withColumn("batch", F.timestamp_micros(F.expr("batch div 1000")))
     if "batch_ns" not in found.columns:
@@ -189,8 +261,14 @@ def append_to_tables(spark: SparkSession, records: DataFrame, cluster: str, batc
     ensure_tables(spark, create, database)
     ns = parse_rfc3339_ns(batch)
     target = spark.table(f"{database}.{TABLES[0]}")
-    # Every task appends its own rows to the batch's table partition: no shuffle.
-    records.select(*target.columns).write.mode("append").insertInto(f"{database}.{TABLES[0]}")
+    # Every task writes its own rows to the batch's table partition: no shuffle. A second run replaces what the first one wrote.
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    was = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")  # only the partitions that are written are replaced
+    try:
+        records.select(*target.columns).write.insertInto(f"{database}.{TABLES[0]}", overwrite=True)
+    finally:
+        spark.conf.set(mode, was)
     marker = spark.createDataFrame([(cluster, ns, instances)], "cluster string, batch_ns long, instances array<string>")
     marker.select("cluster", F.timestamp_micros(F.expr("batch_ns div 1000")).alias("batch"), "batch_ns", "instances").write.mode("append").insertInto(
         f"{database}.{TABLES[1]}"

@@ -10,7 +10,6 @@ store that only Spark can open, use :func:`read_files`.
 
 from __future__ import annotations
 
-import io
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -140,14 +139,20 @@ def register(spark: SparkSession) -> None:
 
 def read_files(spark: SparkSession, path: str, cluster: str, batch: str, source_type: str = "file", on_truncate: str = "raise") -> DataFrame:
     """Snapshots under a path of any Hadoop file system, at most 2 GB each; the file name is the instance."""
-    ship(spark)
-    batch_ns = parse_rfc3339_ns(batch)
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return read_blobs(files, cluster, batch, source_type, on_truncate)
+
+
+def read_blobs(blobs: DataFrame, cluster: str, batch: str, source_type: str = "file", on_truncate: str = "raise") -> DataFrame:
+    """Snapshots held as rows (name, content); the name is the instance. Contents are decoded where they lie, without a copy."""
+    ship(blobs.sparkSession)
+    batch_ns = parse_rfc3339_ns(batch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for files_batch in batches:
-            for name, content in zip(files_batch.column(0).to_pylist(), files_batch.column(1)):
-                found = rdb.records(io.BytesIO(content.as_py()), on_truncate)
-                yield from record_batches(found, cluster, batch_ns, name.removesuffix(".rdb"), source_type)
+        for rows in batches:
+            for name, content in zip(rows.column(0).to_pylist(), rows.column(1)):
+                with pa.BufferReader(content.as_buffer()) as stream:
+                    found = rdb.records(stream, on_truncate)
+                    yield from record_batches(found, cluster, batch_ns, name.removesuffix(".rdb"), source_type)
 
-    return files.mapInArrow(run, RECORD_SCHEMA)
+    return blobs.select("name", "content").mapInArrow(run, RECORD_SCHEMA)

@@ -139,6 +139,14 @@ def test_metrics():
             serve(metrics, bad)
 
 
+def test_rows_are_counted_while_they_pass(spark):
+    metrics = Metrics()
+    rows = metrics.observed(fixture(spark), BATCH)
+    assert "records_parsed_total{" not in metrics.text()
+    assert rows.count() == 6
+    assert f'records_parsed_total{{cluster="c",batch="{BATCH}",instance="10.0.0.1:6379"}} 3' in metrics.text()
+
+
 def test_command_line(spark, tmp_path, capsys):
     from . import rdb_builder as b
 

@@ -115,7 +115,9 @@ def test_failed_write_stays_invisible(spark, tmp_path):
 @pytest.mark.parametrize("compression", ["zstd", "snappy", "none", "lz4", "gzip"])
 def test_compressions_and_order(spark, tmp_path, compression):
     store = Store(spark, str(tmp_path))
-    store.write(fixture(spark).union(fixture(spark)), "c", BATCH, compression=compression, dedupe=True)
+    twice = fixture(spark).unionByName(fixture(spark).withColumn("rdb_size", F.col("rdb_size") + 7))
+    store.write(twice, "c", BATCH, compression=compression, dedupe=F.col("rdb_size"))
+    assert {r["rdb_size"] for r in store.read("c").collect()} == {107, 207, 307}  # the last of each key
     rows = []
     for path in store.files(store.find("c")):
         table = pq.ParquetFile(path).read().to_pylist()
@@ -125,6 +127,24 @@ def test_compressions_and_order(spark, tmp_path, compression):
     assert len(rows) == 6
 
 
+def test_summary_and_footers(spark, tmp_path):
+    """The report from the summary is that from the records; row groups are small, and pruned by key."""
+    store = Store(spark, str(tmp_path))
+    many = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).cast("binary").alias("key"), (F.col("id") % 7).alias("rdb_size"))
+    rows = fixture(spark).limit(1).drop("key", "rdb_size").crossJoin(many).select(*RECORD_SCHEMA.fieldNames())
+    skewed = fixture(spark).withColumn("codis_slot", F.lit(5))
+    store.write(rows.unionByName(skewed), "c", BATCH)
+    assert build_report(store.read("c"), summary=store.summary("c")).to_json() == build_report(store.read("c")).to_json()
+    assert build_report(store.read("c"), summary=store.summary("c")).cluster_issues["codis_slot_skew"]
+    footers = store.footers("c").collect()
+    assert sum(r["rows"] for r in footers) == 30_006 and max(r["most_rows"] for r in footers) <= batches.ROW_GROUP
+    groups = [pq.ParquetFile(p).metadata.num_row_groups for p in store.files(store.find("c"))]
+    assert sorted(groups) == sorted(r["row_groups"] for r in footers)
+    assert store.summary("c").count() <= 30_006 / 50
+    with pytest.raises(BatchError):
+        store.summary("d")
+
+
 def test_files_of_another_writer(spark, tmp_path):
     """Nanosecond times and unsigned counts."""
     folder = tmp_path / "cluster=c" / "batch=2024-01-01_00-00-00.000Z"
@@ -152,7 +172,9 @@ def test_tables(spark):
     with pytest.raises(BatchError, match="do not exist"):
         batches.ensure_tables(spark, False, "kl")
     batches.append_to_tables(spark, fixture(spark), "c", BATCH, ["a"], create=True, database="kl")
-    batches.append_to_tables(spark, fixture(spark, LATER), "c", LATER, ["a"], database="kl")
+    for _ in range(2):  # a second run replaces the first one's rows
+        batches.append_to_tables(spark, fixture(spark, LATER), "c", LATER, ["a"], database="kl")
+    assert spark.table("kl.records_raw").count() == 12 and spark.table("kl.records_view").count() == 6
     fixture(spark, "2024-03-01T00:00:00Z").select(*spark.table("kl.records_raw").columns).write.insertInto("kl.records_raw")  # not completed
     found = spark.sql("SELECT DISTINCT batch_ns FROM kl.records_view").collect()
     assert [r[0] for r in found] == [parse_rfc3339_ns(LATER)]
