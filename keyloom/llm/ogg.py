@@ -6,6 +6,10 @@ reflected one that zlib has over bit-reversed bytes, so no byte is handled in Py
 ``store`` puts a payload into two logical streams of 8-bit samples: packets of ``FRAME`` samples are dealt to them in
 turn, pages interleave by time, and pages may end inside a packet. ``load`` reads the stored bytes alone. Equal
 payloads give equal bytes: stream serials are fixed and nothing depends on the clock.
+
+Null and empty texts are stored as one frame of padding. Repeated rows give equal rows, an empty table none; a text of any
+length is stored whole, and held once as payload and once as file. There are no ties. Columns beside the two that are read do
+not matter, also where their names differ from these only in case.
 """
 
 from __future__ import annotations

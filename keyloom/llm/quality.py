@@ -1,8 +1,13 @@
 """Quality classifier: histogram gradient-boosted trees over statistics of whole texts.
 
 The trees are fitted on at most ``SAMPLE`` labelled rows (see :mod:`keyloom.llm.labelled`); their statistics are all that
-comes to the driver. Every text is then scored where it is read. Language, source and id are no inputs. Null texts are
-empty ones and get the score of a text without words. Without labelled rows of both kinds every score is the base rate.
+comes to the driver. Every text is then scored where it is read. Language, source and id are no inputs.
+
+Null texts are empty ones and get the score of a text without words; an empty table gives no rows; texts of any length are read
+whole. Repeated rows get equal scores; in the sample a repeated id counts once, with its largest label and least statistics. Of
+equally good splits the first feature's lowest cut is taken. Rows with a null id are scored, not learnt from. Columns beside
+those read do not matter, also where their names differ from these only in case. Without labelled rows of both kinds every score
+is the base rate.
 """
 
 from __future__ import annotations
