@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -26,7 +28,10 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="keyloom-")) / "keyloom_pkg.zip"
+    # Code, no data: the driver serves it to executors as long as it runs.
+    folder = tempfile.mkdtemp(prefix="keyloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "keyloom_pkg.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for path in sorted(package.rglob("*.py")):
             out.write(path, path.relative_to(package.parent))
