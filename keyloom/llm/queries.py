@@ -80,5 +80,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+#: Windows by their words: exact, and fit for small tables alone, as every window is a string of its own.
+_OP4 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, w, unnest(range(1, len(w) - {substrings.WIDTH} + 2)) AS i FROM d),
+named AS (SELECT r, i, array_to_string(w[i : i + {substrings.WIDTH} - 1], ' ') AS h FROM windows),
+repeated AS (SELECT h FROM named GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT r, i + k AS p FROM (SELECT r, i FROM named SEMI JOIN repeated USING (h)) CROSS JOIN range({substrings.WIDTH}) t(k) GROUP BY ALL),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_substrings": _OP4}

@@ -31,6 +31,21 @@ def test_whole_query_against_brute_force(docs):
     assert sorted(found, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_against_its_sql(spark, sf):
+    import duckdb
+
+    from keyloom.llm import queries
+
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '/root/testdata/{sf}/documents.parquet'")
+    want = connection.sql(queries.oracle_sql()["op4_substrings"])
+    frame = queries.op4_substrings(spark, f"/root/testdata/{sf}")
+    found = frame.select(*want.columns).collect()
+    assert sorted(frame.columns) == sorted(want.columns) and any(r["n_removed"] for r in found)
+    assert sorted(map(tuple, found)) == sorted(want.fetchall())
+
+
 def test_empty_table_and_clashing_names(no_docs, clashing):
     assert substrings.removed_intervals(no_docs).collect() == []
     row = substrings.removed_intervals(clashing).first()
