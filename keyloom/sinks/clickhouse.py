@@ -22,6 +22,8 @@ from keyloom.functions.formatting import parse_rfc3339_ns
 from keyloom.schema import RECORD_SCHEMA
 from keyloom.session import ship
 
+from . import socks
+
 RAW, MARKERS, VIEW = "redis_records_raw", "import_batches_completed", "redis_records_view"
 INSERT_ROWS, TIMEOUT_S = 1_000_000, 60
 # Column types by name (fixed values of the table format).
@@ -58,8 +60,9 @@ class ClickHouse:
             raise ValueError("the address must name a port")
         if not urllib.parse.parse_qs(parts.query).get("database"):
             raise ValueError("the address must end with ?database=<name>")
-        if self.proxy and urllib.parse.urlsplit(self.proxy).scheme != "http":
-            raise ValueError("only http:// proxies are supported")
+        proxy = urllib.parse.urlsplit(self.proxy)
+        if self.proxy and (proxy.scheme not in ("http", "socks5") or not proxy.hostname or (proxy.scheme == "socks5" and proxy.port is None)):
+            raise ValueError("a proxy must start with http:// or socks5:// and name a host, and a port for socks5")
 
     def request(self, sql: str, body: bytes | None = None, **params: str) -> bytes:
         parts = urllib.parse.urlsplit(self.url)
@@ -70,7 +73,12 @@ class ClickHouse:
         if parts.username:
             pair = f"{urllib.parse.unquote(parts.username)}:{urllib.parse.unquote(parts.password or '')}"
             call.add_header("Authorization", "Basic " + base64.b64encode(pair.encode()).decode())
-        opener = urllib.request.build_opener(urllib.request.ProxyHandler({"http": self.proxy, "https": self.proxy} if self.proxy else {}))
+        through = [urllib.request.ProxyHandler({})]
+        if self.proxy.startswith("socks5"):
+            through.append(socks.Handler(self.proxy))
+        elif self.proxy:
+            through = [urllib.request.ProxyHandler({"http": self.proxy, "https": self.proxy})]
+        opener = urllib.request.build_opener(*through)
         try:
             with opener.open(call, timeout=TIMEOUT_S) as answer:
                 return answer.read()

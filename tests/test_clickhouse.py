@@ -1,4 +1,5 @@
 import io
+import socket
 import threading
 import urllib.request
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -118,12 +119,63 @@ def test_proxy():
     assert server.rows("EXISTS x") == ["0"]
 
 
+class Socks:
+    """A proxy that takes one login and leads every name to one port."""
+
+    def __init__(self, port, status=0):
+        self.asked, self.listener = [], socket.create_server(("127.0.0.1", 0))
+        self.port, self.to, self.status = self.listener.getsockname()[1], port, status
+        threading.Thread(target=self.run, daemon=True).start()
+
+    def run(self):
+        while True:
+            link, _ = self.listener.accept()
+            stream = link.makefile("rb")
+            _, n = stream.read(2)
+            method = stream.read(n)[0]
+            link.sendall(bytes([5, method]))
+            login = None
+            if method == 2:
+                stream.read(1)
+                login = tuple(stream.read(stream.read(1)[0]) for _ in range(2))
+                link.sendall(b"\x01" + bytes([login != (b"user", b"p@ss")]))
+            if login in (None, (b"user", b"p@ss")):
+                stream.read(4)
+                name = stream.read(stream.read(1)[0])
+                self.asked.append((name, int.from_bytes(stream.read(2), "big"), login))
+                link.sendall(bytes([5, self.status, 0, 1]) + bytes(6))
+                if not self.status:
+                    there = socket.create_connection(("127.0.0.1", self.to))
+                    for a, b in ((link, there), (there, link)):
+                        threading.Thread(target=self.pump, args=(a, b), daemon=True).start()
+
+    @staticmethod
+    def pump(a, b):
+        while data := a.recv(65536):
+            b.sendall(data)
+
+
+def test_socks_proxy():
+    fake = Fake()
+    port = fake.server.server_port
+    proxy = Socks(port)
+    for login, seen in (("", None), ("user:p%40ss@", (b"user", b"p@ss"))):
+        server = ch.ClickHouse("http://no.such.host:8123?database=db", f"socks5://{login}127.0.0.1:{proxy.port}")
+        assert server.rows("EXISTS x") == ["0"]
+        assert proxy.asked[-1] == (b"no.such.host", 8123, seen)
+    for bad in (f"socks5://user:wrong@127.0.0.1:{proxy.port}", f"socks5://127.0.0.1:{Socks(port, 5).port}"):
+        with pytest.raises(OSError):
+            ch.ClickHouse("http://no.such.host:8123?database=db", bad).rows("EXISTS x")
+    with pytest.raises(ValueError):
+        ch.ClickHouse("http://h:1?database=d", "socks5://p")
+
+
 @pytest.mark.parametrize("url", ["ftp://h:1?database=d", "http://h?database=d", "http://h:1", "http://:1?database=d"])
 def test_bad_addresses(url):
     with pytest.raises(ValueError):
         ch.ClickHouse(url)
     with pytest.raises(ValueError):
-        ch.ClickHouse("http://h:1?database=d", "socks5://p:1")
+        ch.ClickHouse("http://h:1?database=d", "socks4://p:1")
 
 
 def test_metrics():
