@@ -3,8 +3,8 @@
 Merges apply in rank order, and a rule only joins tokens that earlier rules made. So what follows a prefix can change the
 prefix's tokens only through a chain of rules of growing rank, each reaching one left operand further to the left.
 ``Merges.lookahead`` bounds the reach of every such chain from the merge list: symbols further from the end of what was
-read have their final tokens. :mod:`keyloom.llm.transducer` holds no more than these symbols in its states, emits every token
-as soon as no continuation can change it, and is the only path from text to ids, for texts of any length.
+read have their final tokens. :mod:`keyloom.llm.transducer` emits these and carries the others on; it is the only path from text
+to ids, for texts of any length.
 
 Texts are read in blocks: stretches that no pre-token crosses are folded and cut into pre-tokens by the file's own pattern,
 their bytes become symbols, and the state is carried from block to block. What is held beside a text is a block, a stretch (as
@@ -124,8 +124,8 @@ class Encoder:
         split = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), None)
         self.pattern = regex.compile(split or r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self._blanks = regex.compile(r"\s+")
-        # Always a pre-token's start: any ASCII white space where it is dropped, else a blank without white space beside it.
-        self._safe = regex.compile(r"[ \t\n\r\x0b\x0c]" if self.folds else r"(?<=\S) (?=\S)")
+        # Always a pre-token's start: any ASCII white space where it is dropped, else the first white space behind anything else.
+        self._safe = regex.compile(r"[ \t\n\r\x0b\x0c]" if self.folds else r"(?<=\S)\s")
         self.machine = self._compiled(pairs)
         self._token_bytes = None
 
@@ -149,11 +149,11 @@ class Encoder:
             text = self._blanks.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
         return text.lower()
 
-    def _stretches(self, text: str, size: int = STRETCH) -> Iterator[str]:
+    def _stretches(self, text: str) -> Iterator[str]:
         """The text in parts that no pre-token crosses."""
         at = 0
         while at < len(text):
-            cut = self._safe.search(text, at + size)
+            cut = self._safe.search(text, at + STRETCH)
             end = cut.start() if cut else len(text)
             yield text[at:end]
             at = end
@@ -189,29 +189,29 @@ class Encoder:
         if n:
             yield np.concatenate(held), marks
 
-    def _runs(self, texts: Iterable[str], size: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
-        """Edges of each block, with its marks."""
+    def _runs(self, texts: Iterable[str], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+        """Edges of each block, which of them end a pre-token, and the block's marks."""
         machine, state = self.machine, 0
         for symbols, marks in self._blocks(texts, size):
             if machine.full():
                 state = machine.clear(machine.states[state])
             edges, state = machine.run(symbols, state)
-            yield edges, marks
+            yield edges, symbols >= END, marks
 
     def encode_parts(self, texts: Iterable[str], size: int = BLOCK) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
         """(ids, marks) block by block: a mark (k, n) says that ids up to the n-th, from the previous mark on, are of text k."""
-        for edges, marks in self._runs(texts, size):
-            ids, sizes = self.machine.emitted(edges)
-            ends = np.cumsum(sizes, dtype=np.int64)
-            yield ids, [(number, int(ends[end - 1])) for number, end in marks]
+        held = np.empty(0, np.uint32)
+        for edges, ends, marks in self._runs(texts, size):
+            ids, upto, held = self.machine.tokens(edges, ends, held, self.merges.lookahead)
+            yield ids, [(number, int(upto[end - 1])) for number, end in marks]
 
     def count(self, texts: list[str], size: int = BLOCK) -> np.ndarray:
         """Tokens of each text, from the counts that transitions are annotated with."""
         out = np.zeros(len(texts), np.int64)
-        for edges, marks in self._runs(texts, size):
+        for edges, _, marks in self._runs(texts, size):
             own = np.array(marks)
             starts = np.r_[0, own[:-1, 1]]
-            np.add.at(out, own[:, 0], np.add.reduceat(self.machine.size[edges], starts))
+            np.add.at(out, own[:, 0], np.add.reduceat(self.machine.counts(edges), starts))
         return out
 
     def encode(self, text: str, size: int = BLOCK) -> bytes:

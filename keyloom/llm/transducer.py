@@ -1,10 +1,12 @@
 """A merge list compiled to a deterministic transducer, run over many chunks at once.
 
-The tokens of a prefix are those of a shorter prefix and one more token, so the only prefixes that still matter are those from
-which a token may yet go on beyond what was read. A state is that set: for each such prefix the symbols since its end and its
-tokens. What all of them have in common is stable: a transition emits it, and the state keeps only the rest. The number of
-symbols that a state can hold is bounded by the longest token, the number of states by the vocabulary; both are independent
-of the text. Transitions are compiled when they are first taken and kept in a bounded table.
+The tokens of a prefix are those of a shorter prefix and one more token, its last. So the only prefixes that still matter are
+those from which a token may yet go on beyond what was read. A state is that set: for each such prefix the symbols since its end
+(a node of the tokens' trie), which tokens may follow it, and how many more tokens it has than the one with fewest. Prefixes from
+which no token can go on are left out, and two prefixes after which the same tokens may follow are the same, so states are few.
+A transition is annotated with the number of tokens that it emits, which is how far the least count moves, and with the last
+token of the prefix that it completes. Transitions are compiled when they are first taken and kept in a bounded table; the number
+of states is bounded by the vocabulary, and independent of the text.
 
 Symbols are bytes; the last byte of a pre-token is a symbol of its own (``END`` higher), as is each special token (from
 ``SPECIAL``). Either leads back to the start state with all tokens emitted.
@@ -13,6 +15,9 @@ A text is cut into chunks anywhere. A chunk's map sends the state it is entered
 emits. Behind its first ending symbol a map does not depend on the entry; before, it is kept as the symbols to be read. Maps
 of all chunks are made side by side, one symbol of each chunk a step, and composed by a scan: a chunk whose predecessor's
 exit is known reads its head, and a run of chunks without an ending symbol passes its state along.
+
+Which tokens a text has follows from the last tokens, backwards from the end of a pre-token. Within one that has not ended, the
+merge list's lookahead tells which tokens no continuation can change: these are emitted, the rest is carried on.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ END, SPECIAL = 256, 512
 LANES, BLOCK, STATES = 2_048, 1 << 19, 400_000
 _SHIFT, _START = 10, 0
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: A node with as many tokens below it, or fewer, has them listed; numbers of such lists start behind all tokens.
+FEW, _LISTS = 30, 1 << 24
 
 
 class Pairs:
@@ -34,14 +41,14 @@ class Pairs:
         self.rank = {(vocab[a], vocab[b]): i for i, (a, b) in enumerate(pairs)}
         # The rule that makes each token and its two parts; symbols have none.
         self.made = {vocab[a + b]: (i, vocab[a], vocab[b]) for i, (a, b) in enumerate(pairs)}
-        self._known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def fit(self, left: int, right: int) -> bool:
-        if left < 0:
-            return True
-        known = self._known.get((left, right))
+        """Remembered under left << 32 | right; a left of -1 is the start."""
+        key = left << 32 | right
+        known = self.known.get(key)
         if known is None:
-            known = self._known[left, right] = self._fit(left, right)
+            known = self.known[key] = left < 0 or self._fit(left, right)
         return known
 
     def _fit(self, left: int, right: int) -> bool:
@@ -63,7 +70,7 @@ class Pairs:
                 right_rank = made.get(right, (-1,))[0]
 
     def clear(self) -> None:
-        self._known.clear()
+        self.known.clear()
 
 
 class Transducer:
@@ -71,23 +78,46 @@ class Transducer:
 
     def __init__(self, inner: dict[bytes, int], last: dict[bytes, int], pairs: Pairs, special: list[int]):
         self.inner, self.last, self.pairs, self.special = inner, last, pairs, special
-        self.begun = {token[:k] for table in (inner, last) for token in table for k in range(1, len(token))}
-        self.longest = max(map(len, [*inner, *last]))
+        self._plant()
+        self.width = np.ones(1 + max([*inner.values(), *last.values(), *special]), np.int64)
+        for table in (inner, last):
+            for token, number in table.items():
+                self.width[number] = len(token)
         self.clear()
 
+    def _plant(self) -> None:
+        """The trie of all tokens: children by node and byte; by node its tokens (or -1), and those below it if they are few."""
+        self.child: dict[int, int] = {}
+        self.token, self.final, self.below = [-1], [-1], [[]]
+        for table, of in ((self.inner, self.token), (self.last, self.final)):
+            for token, number in table.items():
+                node = 0
+                for byte in token:
+                    if len(self.below[node]) <= FEW:
+                        self.below[node].append(number)
+                    key = node << 8 | byte
+                    at = self.child.get(key)
+                    if at is None:
+                        at = self.child[key] = len(self.token)
+                        self.token.append(-1)
+                        self.final.append(-1)
+                        self.below.append([])
+                    node = at
+                of[node] = number
+
     def clear(self, keep: tuple | None = None) -> int:
-        """Forget all transitions; the number of the one state that is kept."""
+        """Forget all transitions, and all states but one; the number that it has now."""
         self.pairs.clear()
-        start = ((b"", (-1,)),)
+        old = self.lists if keep else []
+        self.lists: list[frozenset[int]] = []
+        self.list_number: dict[frozenset[int], int] = {}
+        keep = tuple((node, self._listed(old[after - _LISTS]) if after >= _LISTS else after, count) for node, after, count in keep or ())
+        self.moves: dict[int, int] = {}
+        start = ((0, -1, 0),)
         self.states, self.numbers = [start], {start: _START}
-        self.slots = np.full(1 << 18, -1, np.int64)
-        self.edge_of = np.zeros(1 << 18, np.int32)
+        self.table = np.full((1 << 18, 2), -1, np.int64)
         self.edges = 0
-        self.target = np.zeros(1 << 16, np.int32)
-        self.size = np.zeros(1 << 16, np.int32)
-        self.place = np.zeros(1 << 16, np.int64)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.filled = 0
+        self.count, self.token_at = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint32)
         return self._number(keep) if keep else _START
 
     def _number(self, state: tuple) -> int:
@@ -97,104 +127,120 @@ class Transducer:
             self.states.append(state)
         return number
 
-    def step(self, state: tuple, symbol: int) -> tuple[tuple, tuple[int, ...]]:
-        """(next state, emitted tokens)."""
+    # What may follow a prefix: its last token, or where few tokens are left the number of their list; -2 is nothing.
+
+    def _allows(self, after: int, token: int) -> bool:
+        return token in self.lists[after - _LISTS] if after >= _LISTS else self.pairs.fit(after, token)
+
+    def _narrowed(self, after: int, node: int) -> int:
+        """What may follow once ``node`` was read."""
+        below = self.below[node]
+        if len(below) > FEW and after < _LISTS:
+            return after
+        left = frozenset(t for t in below if self._allows(after, t))
+        return self._listed(left) if left else -2
+
+    def _listed(self, tokens: frozenset[int]) -> int:
+        number = self.list_number.get(tokens)
+        if number is None:
+            number = self.list_number[tokens] = _LISTS + len(self.lists)
+            self.lists.append(tokens)
+        return number
+
+    def step(self, state: tuple, symbol: int) -> tuple[tuple, int, int]:
+        """(next state, last token, emitted tokens). A state has (node, what may follow, count) by prefix, the shortest first."""
         if symbol >= SPECIAL:
-            return self.states[_START], (self.special[symbol - SPECIAL],)
-        ends = symbol >= END
-        byte, fit = bytes((symbol & 255,)), self.pairs.fit
-        token_of, begun = (self.last if ends else self.inner).get, self.begun
-        whole, open_ = None, []
-        for since, path in state:
-            grown = since + byte
-            if whole is None and (token := token_of(grown)) is not None and fit(path[-1], token):
-                whole = (*path, token)
-                if ends:
-                    return self.states[_START], whole[1:]
-            if grown in begun:
-                open_.append((grown, path))
-        if whole is None:
-            raise ValueError(f"no token ends in byte {symbol & 255}")
-        # The first token of a path is emitted already; it decides what may follow.
-        same = 1
-        if open_:
-            for i, token in enumerate(open_[0][1][1:], 1):  # the shortest path's prefix starts furthest back
-                if i >= len(whole) or token != whole[i] or any(i >= len(p) or p[i] != token for _, p in open_):
-                    break
-                same = i + 1
-        else:
-            same = len(whole)
-        kept = tuple([(s, p[same - 1 :]) for s, p in open_] + [(b"", whole[same - 1 :])])
-        return kept, whole[1:same]
-
-    # The table: (state, symbol) -> edge by open addressing; edges have a target and a stretch of emitted ids.
+            return self.states[_START], self.special[symbol - SPECIAL], 1
+        ends, byte, child, moves = symbol >= END, symbol & 255, self.child.get, self.moves
+        token_of, known, lists = self.final if ends else self.token, self.pairs.known, self.lists
+        last, total, after_all = -1, 0, []
+        for node, after, count in state:
+            node = child(node << 8 | byte)
+            if node is None:
+                continue
+            if last < 0 and (token := token_of[node]) >= 0:
+                if after >= _LISTS:
+                    fits = token in lists[after - _LISTS]
+                else:
+                    fits = known.get(after << 32 | token)
+                    if fits is None:
+                        fits = self.pairs.fit(after, token)
+                if fits:
+                    last, total = token, count + 1
+                    if ends:
+                        return self.states[_START], last, total
+            key = after << 24 | node
+            after = moves.get(key)
+            if after is None:
+                after = moves[key] = self._narrowed(key >> 24, node)
+            if after != -2:
+                after_all.append((node, after, count))
+        if last < 0:
+            raise ValueError(f"no token ends in byte {byte}")
+        least = min([total, *[c for _, _, c in after_all]])
+        after_all.append((0, last, total))
+        return tuple([(n, a, c - least) for n, a, c in after_all]) if least else tuple(after_all), last, least
+
+    # The table: (state, symbol) to (edge, target) by open addressing.
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        shift = np.uint64(64 - (len(self.table).bit_length() - 1))
+        return ((keys.view(np.uint64) * _FACTOR) >> shift).view(np.int64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
-        """Edges of keys, -1 where there is none yet."""
-        slots, mask = self.slots, len(self.slots) - 1
-        shift = np.uint64(64 - (len(slots).bit_length() - 1))
-        at = ((keys.view(np.uint64) * _FACTOR) >> shift).view(np.int64)
-        found = slots[at]
-        out = self.edge_of[at]
-        off = np.flatnonzero(found != keys)
+        """(edge << 32 | target) of keys, -1 where there is none yet."""
+        at = self._slot(keys)
+        found = np.take(self.table, at, axis=0)
+        out = found[:, 1].copy()
+        off = np.flatnonzero(found[:, 0] != keys)
         while len(off):
-            empty = found[off] < 0
-            out[off[empty]] = -1
-            off = off[~empty]
-            at[off] = (at[off] + 1) & mask
-            found[off] = slots[at[off]]
-            out[off] = self.edge_of[at[off]]
-            off = off[found[off] != keys[off]]
+            off = off[out[off] >= 0]  # an empty slot ends the search
+            at[off] = (at[off] + 1) & (len(self.table) - 1)
+            rows = self.table[at[off]]
+            out[off] = rows[:, 1]
+            off = off[rows[:, 0] != keys[off]]
         return out
 
-    def _insert(self, keys: np.ndarray, edges: np.ndarray) -> None:
-        mask, shift = len(self.slots) - 1, np.uint64(64 - (len(self.slots).bit_length() - 1))
-        at = ((keys.view(np.uint64) * _FACTOR) >> shift).view(np.int64)
+    def _insert(self, keys: np.ndarray, values: np.ndarray) -> None:
+        at = self._slot(keys)
         # Each round, one key takes each free slot; the others try the next one.
         while len(keys):
             _, first = np.unique(at, return_index=True)
-            first = first[self.slots[at[first]] < 0]
-            self.slots[at[first]], self.edge_of[at[first]] = keys[first], edges[first]
+            first = first[self.table[at[first], 0] < 0]
+            self.table[at[first], 0], self.table[at[first], 1] = keys[first], values[first]
             left = np.ones(len(keys), bool)
             left[first] = False
-            keys, edges, at = keys[left], edges[left], (at[left] + 1) & mask
+            keys, values, at = keys[left], values[left], (at[left] + 1) & (len(self.table) - 1)
 
     def _make_room(self, more: int) -> None:
         """Keep two thirds of the slots free, and the arrays long enough."""
-        while (self.edges + more) * 3 > len(self.slots):
-            filled = self.slots >= 0
-            keys, edges = self.slots[filled], self.edge_of[filled]
-            self.slots, self.edge_of = np.full(2 * len(self.slots), -1, np.int64), np.zeros(2 * len(self.slots), np.int32)
-            self._insert(keys, edges)
-        while self.edges + more > len(self.target):
-            self.target, self.size, self.place = (np.resize(x, 2 * len(x)) for x in (self.target, self.size, self.place))
+        while (self.edges + more) * 3 > len(self.table):
+            old = self.table[self.table[:, 0] >= 0]
+            self.table = np.full((2 * len(self.table), 2), -1, np.int64)
+            self._insert(old[:, 0].copy(), old[:, 1])
+        while self.edges + more > len(self.count):
+            self.count, self.token_at = (np.resize(x, 2 * len(x)) for x in (self.count, self.token_at))
 
     def _compile(self, keys: np.ndarray) -> None:
         """Make the edges of keys that have none."""
         self._make_room(len(keys))
         step, states, number, symbol = self.step, self.states, self._number, (1 << _SHIFT) - 1
         made = [step(states[key >> _SHIFT], key & symbol) for key in keys.tolist()]
-        ids = [i for _, emitted in made for i in emitted]
-        while self.filled + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.filled : self.filled + len(ids)] = ids
+        targets = np.fromiter((number(state) for state, _, _ in made), np.int64, len(made))
         own = slice(self.edges, self.edges + len(keys))
-        self.target[own] = [number(state) for state, _ in made]
-        sizes = np.fromiter((len(emitted) for _, emitted in made), np.int32, len(made))
-        self.size[own], self.place[own] = sizes, self.filled + np.cumsum(sizes) - sizes
-        self._insert(keys, np.arange(own.start, own.stop, dtype=np.int32))
+        self.token_at[own], self.count[own] = [m[1] for m in made], [m[2] for m in made]
+        self._insert(keys, np.arange(own.start, own.stop) << 32 | targets)
         self.edges += len(keys)
-        self.filled += len(ids)
 
-    def _take(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """The edges from states by symbols."""
-        keys = (states.astype(np.int64) << _SHIFT) | symbols
-        edges = self._find(keys)
-        none = np.flatnonzero(edges < 0)
+    def _take(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(edges, targets) from states by symbols."""
+        keys = (states << _SHIFT) | symbols
+        found = self._find(keys)
+        none = np.flatnonzero(found < 0)
         if len(none):
             self._compile(np.unique(keys[none]))
-            edges[none] = self._find(keys[none])
-        return edges
+            found[none] = self._find(keys[none])
+        return found >> 32, found & 0xFFFFFFFF
 
     def _read(self, symbols: np.ndarray, edges: np.ndarray, begin: np.ndarray, end: np.ndarray, states: np.ndarray) -> np.ndarray:
         """Read symbols[begin:end] of each lane from its state, side by side; fill ``edges``, give the states at the end."""
@@ -204,9 +250,7 @@ class Transducer:
         step = 0
         while active:
             places = at[:active] + step
-            taken = self._take(now[:active], symbols[places])
-            edges[places] = taken
-            now[:active] = self.target[taken]
+            edges[places], now[:active] = self._take(now[:active], symbols[places])
             step += 1
             active = int(np.searchsorted(-length, -step, side="left"))
         out = np.empty_like(now)
@@ -227,9 +271,9 @@ class Transducer:
         behind = np.append(resets + 1, n + 1)[which]
         known = behind <= end  # maps that do not depend on the entry behind their heads
         heads = np.minimum(behind, end)
-        exits = self._read(symbols, edges, heads, end, np.zeros(lanes, np.int32))
+        exits = self._read(symbols, edges, heads, end, np.zeros(lanes, np.int64))
         # Composition: a head is read once its predecessor's exit is known.
-        entry = np.full(lanes, -1, np.int32)
+        entry = np.full(lanes, -1, np.int64)
         entry[0] = state
         entry[1:][known[:-1]] = exits[:-1][known[:-1]]
         todo = entry >= 0
@@ -243,14 +287,38 @@ class Transducer:
                     entry[lane + 1], todo[lane + 1] = out, True
         return edges, int(exits[-1])
 
-    def emitted(self, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in order, how many each edge emits)."""
-        sizes = self.size[edges]
-        some = np.flatnonzero(sizes)
-        own = sizes[some]
-        ends = np.cumsum(own)
-        flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.place[edges[some]] - (ends - own), own)
-        return self.ids[flat], sizes
+    def counts(self, edges: np.ndarray) -> np.ndarray:
+        """How many tokens each transition emits."""
+        return self.count[edges]
+
+    def tokens(self, edges: np.ndarray, ends: np.ndarray, carried: np.ndarray, lookahead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many of them end up to each symbol, what is carried on) of a block.
+
+        ``ends`` marks the symbols that end a pre-token. ``carried`` has the last tokens at the symbols behind the last stable
+        place of the block before; they count as symbols in front.
+        """
+        front = len(carried)
+        last = np.concatenate([carried, self.token_at[edges]])
+        width = self.width[last]
+        chosen = np.zeros(len(last), bool)
+        at = np.flatnonzero(ends) + front
+        open_from = int(at[-1]) + 1 if len(at) else 0
+        begin = np.append(0, at[:-1] + 1)[: len(at)]
+        while len(at):
+            chosen[at] = True
+            at = at - width[at]
+            inside = at >= begin
+            at, begin = at[inside], begin[inside]
+        # Of the pre-token that goes on: tokens that end further back than the lookahead are final.
+        path, place = [], len(last) - 1
+        while place >= open_from:
+            path.append(place)
+            place -= int(width[place])
+        stable = [p for p in path if p < len(last) - lookahead]
+        chosen[stable] = True
+        held = last[max(stable, default=open_from - 1) + 1 :]
+        ids = last[chosen]
+        return ids, np.cumsum(chosen)[front:], held
 
     def full(self) -> bool:
         return len(self.states) > STATES
