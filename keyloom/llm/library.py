@@ -8,6 +8,7 @@ new pieces travel as one long text: each is one pre-token, whose last id alone h
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -41,36 +42,47 @@ class LibraryIds:
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.unfit: set[str] = set()
 
     def _ask(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn_pieces(self, new: list[str]) -> None:
-        """Ids of runs of letters, and of runs of marks."""
+        """Ids of runs of letters, and of runs of marks; ``unfit`` has what the library does not take for one such run."""
         parts = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
         for part, ids in zip(parts, self._ask([" ".join(p) for p in parts])):
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(cuts) == len(part):
                 flat, cuts = ids.tobytes(), [0, *cuts.tolist()]
                 self.pieces.update(zip(part, [flat[a:b] for a, b in zip(cuts, cuts[1:])]))
-            else:  # the library does not take one of these characters for a letter
-                self.pieces.update(zip(part, [i.tobytes() for i in self._ask(part)]))
+            else:
+                for piece, own in zip(part, self._ask(part)):
+                    if self.ends[own].sum() == 1:
+                        self.pieces[piece] = own.tobytes()
+                    else:
+                        self.unfit.add(piece)
 
     def _learn(self, new: list[bytes]) -> None:
         plain, bodies, tails, other = [], [], [], []
         for word in new:
             text = word.decode("utf-8", "replace")
             body = text.rstrip(_MARKS)
-            if (body.isalpha() or not body) and b"<|" not in word:
+            # Folding may turn a letter into more than letters, which would join the marks behind it.
+            whole = body.isalpha() and (body.isascii() or unicodedata.normalize("NFC", body).lower().isalpha())
+            if (whole or not body) and b"<|" not in word:
                 plain.append(word)
                 bodies.append(body.lower() if body.isascii() else body)
                 tails.append(text[len(body) :])
             else:
                 other.append(word)
         pieces = self.pieces
-        self._learn_pieces(list({*bodies, *tails}.difference(pieces, ("",))))
+        self._learn_pieces(list({*bodies, *tails}.difference(pieces, self.unfit, ("",))))
         pieces[""] = b""
-        words = self.words
+        words, unfit = self.words, self.unfit
+        if unfit:
+            other += [w for w, b, t in zip(plain, bodies, tails) if b in unfit or t in unfit]
+            fit = [(w, b, t) for w, b, t in zip(plain, bodies, tails) if b not in unfit and t not in unfit]
+            plain, bodies, tails = zip(*fit) if fit else ((), (), ())
         words.update(zip(plain, [pieces[b] + pieces[t] for b, t in zip(bodies, tails)]))
         words.update(zip(other, [ids.tobytes() for ids in self._ask([w.decode("utf-8", "replace") for w in other])]))
 
@@ -83,6 +95,7 @@ class LibraryIds:
         if len(words) + len(new) > 2 * TABLE_WORDS:
             self.words = words = {w: words[w] for w in wanted if w in words}
             self.pieces.clear()
+            self.unfit.clear()
         self._learn(new)
         out = [b"".join(map(words.__getitem__, s)) for s in split]
         for word in new:

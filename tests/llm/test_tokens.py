@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -169,8 +169,9 @@ def test_token_counts_query(docs, no_docs, clashing, vocabulary):
     assert [tuple(r) for r in counting.token_counts(clashing, vocabulary(FILES[1])).collect()] == [(1, 16, 3, False)]
 
 
-@settings(max_examples=100, deadline=None)
+@settings(max_examples=400, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(ODD), max_size=12).map("".join), max_size=6))
+@example(["İ_"])
 def test_library_ids_by_words(vocabulary, texts):
     path = vocabulary(FILES[1])
     tokenizer = Tokenizer.from_file(path)
@@ -178,6 +179,31 @@ def test_library_ids_by_words(vocabulary, texts):
     assert [ids(flat) for flat in library.library_ids(path).encode([t.encode() for t in texts])] == want
 
 
+def test_library_ids_of_every_letter_before_a_mark(vocabulary):
+    """Letters that fold to more than letters join the marks behind them."""
+    path = vocabulary(FILES[1])
+    tokenizer, own = Tokenizer.from_file(path), library.LibraryIds(path)
+    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    words = [f"{c}_" for c in letters] + [f"a{c}." for c in letters[::7]] + [f"{c}\u0301!" for c in letters[::11]]
+    for at in range(0, len(words), 20_000):
+        part = words[at : at + 20_000]
+        want = [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+        got = own.encode([w.encode() for w in part])
+        assert [w for w, a, b in zip(part, got, want) if ids(a) != b] == []
+
+
+def test_library_pieces_that_are_no_single_run(vocabulary):
+    """Where the library parts a piece, its words are asked for as a whole."""
+    path = vocabulary(FILES[1])
+    tokenizer, own = Tokenizer.from_file(path), library.LibraryIds(path)
+    own._learn_pieces(["x.y", "fine"])
+    assert own.unfit == {"x.y"} and "fine" in own.pieces
+    own.unfit |= {"abc", "!!"}
+    text = "abc. abc fine!! fine. !!"
+    assert ids(own.encode([text.encode()])[0]) == tokenizer.encode(text, add_special_tokens=False).ids
+    assert not own.unfit & own.pieces.keys()
+
+
 def test_library_table_is_bounded(vocabulary, monkeypatch):
     path = vocabulary(FILES[1])
     monkeypatch.setattr(library, "TABLE_WORDS", 20)
