@@ -20,6 +20,7 @@ names differ from these only in case.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +52,10 @@ def counts(text: bytes) -> tuple[int, ...]:
     repeated = 0
     if len(hashes):
         _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        places = np.flatnonzero(times[which] > 1)
+        places = np.flatnonzero(times[which] > 1).tolist()
+        # Equal hashes only name candidates: the words decide.
+        seen = Counter(tuple(words[p : p + WINDOW]) for p in places)
+        places = np.array([p for p in places if seen[tuple(words[p : p + WINDOW])] > 1], np.int64)
         repeated = int(covered(len(words), places, WINDOW).sum()) if len(places) else 0
     return (
         len(words),
@@ -182,12 +186,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float =
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with all their columns.
 
-    Texts are counted twice, for the cutoffs (of the labelled ones, only numbers are written) and for the verdict: that costs
-    less than moving every row to its verdict. Only the text goes to Python, and only the verdict comes back.
+    Texts are counted twice, for the cutoffs (numbers alone are written) and for the verdict: that costs less than moving texts to
+    their labels or rows to their verdicts. Only the text goes to Python, and only the verdict comes back.
     """
-    marked = pick(labels, doc_id="doc_id", y="quality").where("doc_id is not null and y is not null").select("doc_id").distinct()
-    texts_of = pick(docs, doc_id="doc_id", text="text").join(marked, "doc_id", "left_semi")
-    cutoffs = calibrate(materialize(document_counts(texts_of), "counts"), labels, risk, level)
+    cutoffs = calibrate(materialize(document_counts(docs), "counts"), labels, risk, level)
     ship(docs.sparkSession)
 
     @F.arrow_udf("boolean")

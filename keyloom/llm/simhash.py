@@ -353,7 +353,9 @@ def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float =
     prints = materialize(map_texts(small, "node long, bands array<long>", rows).select("doc_id.id", "doc_id.key", "node", "bands"), "prints")
     roots = _similar_roots(small, prints, shingle, similarity, cell)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
-    firsts = prints.select("id", "key", "node").join(roots, F.col("node") == F.col("u"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(first.alias("first"))
+    # Copies share a node: the first of each is found before nodes meet their roots.
+    of_nodes = prints.groupBy("node").agg(first.alias("first"))
+    firsts = of_nodes.join(roots, F.col("node") == F.col("u"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = firsts.select(F.col("first.key.a").alias("_a"), F.col("first.key.b").alias("_b"))
     found = keyed.join(kept, (F.col(f"{key}.a") == F.col("_a")) & (F.col(f"{key}.b") == F.col("_b")), "left_semi")
     # What is left of equal rows is equal, so it does not matter which one stays.
