@@ -10,7 +10,7 @@ each other share one say. A document's posterior comes from its votes alone, and
 A logistic classifier is trained on the posteriors of the sample's rows, not on their labels, and scores every text. Texts are
 read twice: the sample's, and all for their votes, which are written to the shared folder. Bounds: ``SAMPLE`` labelled rows;
 ``POOL`` terms with most evidence, of which ``TERMS`` that vote differently become voters; terms of up to ``LONGEST`` letters and
-whole words, in ``LEAST`` toxic rows or more. To the driver come the sample's votes, and sums by voter and pair of voters.
+whole words, in ``LEAST`` toxic rows or more, where near copies of a text count once. To the driver come the sample's votes, and sums by voter and pair of voters.
 
 Language, source and id are no inputs. Null texts are empty ones and get the score of a text without votes; an empty table gives
 no rows; texts of any length are read whole; repeated rows get equal scores, and each counts in the moments. Terms of equal
@@ -36,6 +36,7 @@ from keyloom.session import materialize
 from .bpe import WordTable
 from .common import map_texts, released
 from .labelled import SAMPLE, held_out, sample_ids, with_labels
+from .simhash import STAGE_SHINGLE, shingle_hashes
 
 #: Terms with most evidence that are compared, and those that vote; toxic rows that a term is in, at least.
 POOL, TERMS, LEAST = 1_000, 250, 4
@@ -43,10 +44,11 @@ SHORTEST, LONGEST = 4, 10
 _EDGE = ".,;:!?\"'()[]{}*#%$&|<>-_"
 PATTERNS = ("shouting", "capitals", "second_person", "digits", "repeats")
 DENSE = ("log_hits", "hit_share", "log_terms", *PATTERNS)
-#: Words with a term, from which on a voter of its own fires: one word may be chance, several are not.
-SEVERAL = (2, 3, 5)
+#: The share of words with a term from which on a voter of its own fires, if they are ``LEAST_HITS`` or more: one word may be
+#: chance, and so may several in a long text.
+DENSITIES, LEAST_HITS = (0.002, 0.01, 0.03), 2
 #: Voters that are no terms.
-OTHERS = len(PATTERNS) + len(SEVERAL)
+OTHERS = len(PATTERNS) + len(DENSITIES)
 #: From which values on a pattern votes.
 THRESHOLDS = (0.2, 0.5, 0.2, 0.3, 0.6)
 #: The sample's share in the label model's rates, rounds at most, and the least correlation that is one.
@@ -163,8 +165,8 @@ def estimate(
         found = moments(model, pairs is None)
         pairs = found.pairs if pairs is None else pairs
         mix = lambda a, b: CHECK * a + (1 - CHECK) * b
-        base = mix((check.toxic + 1) / (check.n + 2), (found.toxic + 1) / (found.n + 2))
-        after = LabelModel(float(base), mix(check.rates(), found.rates()), shared_weights(found, pairs), abstain)
+        # Documents without votes have the base as their posterior, so it is not learnt from posteriors.
+        after = LabelModel(model.base, mix(check.rates(), found.rates()), shared_weights(found, pairs), abstain)
         moved = np.abs(after.rates - model.rates).max()
         model = after
         if moved < 1e-3:
@@ -200,13 +202,13 @@ def features(texts: list[bytes], terms: tuple[str, ...], one_each: bool = True)
 
 
 def votes_of(found: pa.ListArray, facts: pa.ListArray, terms: int) -> tuple[np.ndarray, np.ndarray]:
-    """(votes, facts) of features: terms first, then patterns, then numbers of words."""
+    """(votes, facts) of features: terms first, then patterns, then densities."""
     n = len(found)
     known = np.array(facts.to_pylist(), float).reshape(n, 2 + len(PATTERNS))
     votes = np.zeros((n, terms + OTHERS))
     votes[np.repeat(np.arange(n), found.value_lengths().to_numpy(zero_copy_only=False)), found.flatten().to_numpy(zero_copy_only=False)] = 1
     votes[:, terms : terms + len(PATTERNS)] = known[:, 2:] > np.array(THRESHOLDS)
-    votes[:, terms + len(PATTERNS) :] = known[:, 1:2] >= np.array(SEVERAL)
+    votes[:, terms + len(PATTERNS) :] = (known[:, 1:2] >= LEAST_HITS) & (known[:, 1:2] >= known[:, :1] * np.array(DENSITIES))
     return votes, known
 
 
@@ -309,22 +311,31 @@ def base_rate(y: np.ndarray) -> float:
     return float(np.log(share / (1 - share)))
 
 
+def copy_key(text: bytes) -> int:
+    """The least hash of a text's shingles: near copies mostly share it, other texts do not."""
+    hashes = shingle_hashes(text, STAGE_SHINGLE)
+    return int(hashes.min().view(np.int64)) if len(hashes) else 0
+
+
 def lexicon_terms(chosen: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(voters' terms, labels) of the sample (doc_id as (doc_id, y), text)."""
+    """(voters' terms, labels) of the sample (doc_id as (doc_id, y), text). Copies of a text count once for a term."""
 
     def distinct_terms(batch: list[bytes]) -> list[list]:
-        return [[sorted({t for w in set(words_of(text)) for t in terms_of(w)}) for text in batch]]
+        return [[sorted({t for w in set(words_of(text)) for t in terms_of(w)}) for text in batch], list(map(copy_key, batch))]
 
-    toxic = map_texts(chosen.where("doc_id.y = 1"), "terms array<string>", distinct_terms).select("doc_id.doc_id", F.explode("terms").alias("term"))
-    names = sorted(r["term"] for r in toxic.groupBy("term").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= LEAST).collect())
-    every = map_texts(chosen, FEATURES, lambda batch: features(batch, tuple(names), False))
+    toxic = map_texts(chosen.where("doc_id.y = 1"), "terms array<string>, copy long", distinct_terms).select("copy", F.explode("terms").alias("term"))
+    names = sorted(r["term"] for r in toxic.groupBy("term").agg(F.count_distinct("copy").alias("n")).where(F.col("n") >= LEAST).collect())
+    every = map_texts(chosen, FEATURES + ", copy long", lambda batch: [*features(batch, tuple(names), False), list(map(copy_key, batch))])
     # A repeated id counts once.
-    once = materialize(every.select("doc_id.*", "found").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("found").alias("found")), "found")
+    row = F.min(F.struct("found", "copy")).alias("row")
+    once = materialize(every.select("doc_id.*", "found", "copy").groupBy("doc_id").agg(F.max("y").alias("y"), row).select("doc_id", "y", "row.*"), "found")
     y = np.array([r["y"] for r in once.orderBy("doc_id").select("y").collect()], float)
-    with_term = np.zeros((2, len(names)), np.int64)
-    for r in once.select("y", F.explode("found").alias("term")).groupBy("y", "term").count().collect():
-        with_term[int(r["y"] == 1), r["term"]] = r["count"]
-    ranked = ranked_terms(names, with_term[1], with_term[0], int(y.sum()), int((1 - y).sum()))
+    with_term, rows = np.zeros((2, len(names)), np.int64), [0, 0]
+    for r in once.select("y", "copy", F.explode("found").alias("term")).groupBy("y", "term").agg(F.count_distinct("copy").alias("n")).collect():
+        with_term[int(r["y"] == 1), r["term"]] = r["n"]
+    for r in once.groupBy("y").agg(F.count_distinct("copy").alias("n")).collect():
+        rows[int(r["y"] == 1)] = r["n"]
+    ranked = ranked_terms(names, with_term[1], with_term[0], rows[1], rows[0])
     own = once.orderBy("doc_id").select(F.array_intersect("found", F.array(*map(F.lit, ranked)).cast("array<int>")).alias("found")).collect() if ranked else []
     return [names[j] for j in choose_terms([r["found"] for r in own], ranked)], y
 

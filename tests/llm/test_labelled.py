@@ -1,6 +1,5 @@
 import random
 import zlib
-from collections import Counter
 from math import comb
 
 import numpy as np
@@ -280,11 +279,16 @@ def test_toxicity_query_against_plain_loops(spark, tables):
     sample = sample_of(tables, "toxic")
     y = np.array([v for _, v in sample], float)
     own = [sorted({t for w in toxicity.words_of(texts[i]) for t in toxicity.terms_of(w)}) for i, _ in sample]
-    names = sorted({t for t, n in Counter(t for terms, v in zip(own, y) if v for t in terms).items() if n >= toxicity.LEAST})
+    copies = [toxicity.copy_key(texts[i]) for i, _ in sample]
+    toxic_copies = {}
+    for terms, v, copy in zip(own, y, copies):
+        for t in terms if v else ():
+            toxic_copies.setdefault(t, set()).add(copy)
+    names = sorted(t for t, found in toxic_copies.items() if len(found) >= toxicity.LEAST)
     number = {t: j for j, t in enumerate(names)}
     found = [[number[t] for t in terms if t in number] for terms in own]
-    counts = [np.bincount([j for f, v in zip(found, y) if v == k for j in f], minlength=len(names)) for k in (0, 1)]
-    ranked = toxicity.ranked_terms(names, counts[1], counts[0], int(y.sum()), int((1 - y).sum()))
+    counts = [np.bincount([j for j, _ in {(j, c) for f, v, c in zip(found, y, copies) if v == k for j in f}], minlength=len(names)) for k in (0, 1)]
+    ranked = toxicity.ranked_terms(names, counts[1], counts[0], *(len({c for c, v in zip(copies, y) if v == k}) for k in (1, 0)))
     terms = [names[j] for j in toxicity.choose_terms(found, ranked)]
     known = set(terms)
 
@@ -297,7 +301,7 @@ def test_toxicity_query_against_plain_loops(spark, tables):
             hits = sum(t is not None for t in of_words)
             patterns = toxicity.patterns_of(texts[i], words)
             some = set(of_words)
-            signs = [a > b for a, b in zip(patterns, toxicity.THRESHOLDS)] + [hits >= k for k in toxicity.SEVERAL]
+            signs = [a > b for a, b in zip(patterns, toxicity.THRESHOLDS)] + [hits >= toxicity.LEAST_HITS and hits >= len(words) * d for d in toxicity.DENSITIES]
             votes.append([*(float(t in some) for t in terms), *map(float, signs)])
             facts.append([len(words), hits, *patterns])
         return np.array(votes), np.array(facts)
