@@ -64,6 +64,58 @@ class WordTable(dict):
         return value
 
 
+#: The two patterns whose pre-tokens are found by classes of characters (fixed values); other patterns are searched.
+_BYTES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE, _LETTER, _NUMBER, _MARK = range(4)
+
+
+@lru_cache(maxsize=1)
+def character_classes() -> np.ndarray:
+    """White space, letter, number or mark, by code point."""
+    import regex
+
+    out = np.full(0x110000, _MARK, np.uint8)
+    for low, high in ((0, 0xD800), (0xE000, 0x110000)):
+        every = "".join(map(chr, range(low, high)))
+        for pattern, own in ((r"\s+", _SPACE), (r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER)):
+            for found in regex.finditer(pattern, every):
+                out[low + found.start() : low + found.end()] = own
+    return out
+
+
+def cut(points: np.ndarray, of_bytes: bool) -> np.ndarray:
+    """Whether a pre-token begins at each code point, by ``_BYTES`` or ``_WORDS``; white space of the latter is in none."""
+    kind = character_classes()[points]
+    n = len(points)
+    begins = np.ones(n, bool)
+    begins[1:] = kind[1:] != kind[:-1]
+    quotes = np.flatnonzero(points[:-1] == 0x27)
+    if len(quotes):
+        # A mark that begins a pre-token takes one of seven endings with it.
+        padded = np.append(points, [0, 0])
+        one, two = padded[quotes + 1], padded[quotes + 2]
+        short = (one == ord("s")) | (one == ord("t")) | (one == ord("m")) | (one == ord("d"))
+        long = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+        first = begins[quotes]
+        if of_bytes:  # a blank before goes with the mark
+            first &= (quotes == 0) | (points[quotes - 1] != 0x20)
+        own, size = quotes[first & (short | long)], np.where(short, 2, 3)[first & (short | long)]
+        begins[own + 1] = False
+        begins[(own + size)[own + size < n]] = True
+    if not of_bytes:
+        return begins | (kind == _NUMBER)
+    # The last of some white space goes with what follows if it is a blank, and else stands alone.
+    last = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE))
+    begins[last] = True
+    begins[last[points[last] == 0x20] + 1] = False
+    return begins
+
+
+def _utf8_sizes(points: np.ndarray) -> np.ndarray:
+    return 1 + (points >= 0x80) + (points >= 0x800).astype(np.int64) + (points >= 0x10000)
+
+
 class Merges:
     """A merge list over symbols, with the lookahead that suffices for it."""
 
@@ -122,7 +174,8 @@ class Encoder:
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [spec["pre_tokenizer"]])
         # A split step names its pattern; the byte-level step alone stands for the following one (fixed value).
         split = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), None)
-        self.pattern = regex.compile(split or r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.pattern = regex.compile(split or _BYTES)
+        self._cut = self._by_class if self.pattern.pattern in (_BYTES, _WORDS) else self._by_search
         self._blanks = regex.compile(r"\s+")
         # Always a pre-token's start: any ASCII white space where it is dropped, else the first white space behind anything else.
         self._safe = regex.compile(r"[ \t\n\r\x0b\x0c]" if self.folds else r"(?<=\S)\s")
@@ -164,14 +217,33 @@ class Encoder:
         for i, part in enumerate(self.special_pattern.split(text) if "<|" in text else (text,)):
             if i % 2:
                 yield np.array([SPECIAL + numbers.index(part)], np.int16)
-            elif pieces := self.pattern.findall(self.fold(part)):
-                octets = np.frombuffer("".join(pieces).encode(), np.uint8)
-                ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-                if ends[-1] < len(octets):  # characters to bytes
-                    ends = np.append(np.flatnonzero((octets & 0xC0) != 0x80), len(octets))[ends]
-                symbols = octets.astype(np.int16)
-                symbols[ends - 1] += END
-                yield symbols
+            elif part:
+                if len(found := self._cut(self.fold(part))):
+                    yield found
+
+    def _by_search(self, text: str) -> np.ndarray:
+        pieces = self.pattern.findall(text)
+        octets = np.frombuffer("".join(pieces).encode(), np.uint8)
+        symbols = octets.astype(np.int16)
+        if len(pieces):
+            symbols[np.cumsum([len(p.encode()) for p in pieces]) - 1] += END
+        return symbols
+
+    def _by_class(self, text: str) -> np.ndarray:
+        octets = np.frombuffer(text.encode(), np.uint8)
+        plain = len(octets) == len(text)
+        points = octets if plain else np.frombuffer(text.encode("utf-32-le"), "<u4")
+        begins = cut(points, not self.folds)
+        last = np.append(begins[1:], True)  # of a pre-token, or of white space
+        ends = np.flatnonzero(last)
+        if not plain:
+            ends = np.append(np.flatnonzero((octets & 0xC0) != 0x80), len(octets))[ends + 1] - 1
+        symbols = octets.astype(np.int16)
+        symbols[ends] += END
+        if not self.folds:
+            return symbols
+        dropped = character_classes()[points] == _SPACE
+        return symbols[~dropped] if plain else symbols[~np.repeat(dropped, _utf8_sizes(points))]
 
     def _blocks(self, texts: Iterable[str], size: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int]]]]:
         """Symbols of at most two blocks' length, and up to where they belong to which text."""
@@ -214,9 +286,18 @@ class Encoder:
             np.add.at(out, own[:, 0], np.add.reduceat(self.machine.counts(edges), starts))
         return out
 
+    def encode_all(self, texts: list[str], size: int = BLOCK) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit words."""
+        parts: list[list[bytes]] = [[] for _ in texts]
+        for ids, marks in self.encode_parts(texts, size):
+            flat, at = ids.astype("<u4", copy=False).tobytes(), 0
+            for number, end in marks:
+                parts[number].append(flat[4 * at : 4 * end])
+                at = end
+        return list(map(b"".join, parts))
+
     def encode(self, text: str, size: int = BLOCK) -> bytes:
-        """The ids of a text as little-endian 32-bit words."""
-        return b"".join(ids.astype("<u4").tobytes() for ids, _ in self.encode_parts([text], size))
+        return self.encode_all([text], size)[0]
 
     # Decoding
 

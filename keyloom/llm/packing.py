@@ -6,8 +6,8 @@ sequence opens with the longest rest of its tier, its gap takes the longest shor
 tokens of the gap are cut from a longer one, whose remainder is routed anew. So every sequence is full, at a tier's
 size, except the last of a partition. Sequences of one tier are dealt into step groups of equal token totals.
 
-Ids come from the tokenizer library, which is asked for new words only. Memory is bounded by ``POOL`` tokens of rests, the word
-table and the texts of one slice. A partition that is computed again gives the same rows. Each partition leaves up to one short
+Ids come from the streaming transducer of :mod:`keyloom.llm.bpe` and equal the tokenizer library's. Memory is bounded by ``POOL``
+tokens of rests, the transducer's table and the texts of one slice. A partition that is computed again gives the same rows. Each partition leaves up to one short
 step group a tier.
 
 Null and empty texts yield the end token alone; an empty table yields no rows; repeated rows are packed as often as they occur;
@@ -29,8 +29,8 @@ from pyspark.sql.types import StructType
 
 from keyloom.session import ship
 
+from .bpe import encoder
 from .common import SLICE, released, texts
-from .library import library_ids
 
 TIERS = (256, 512, 1024, 2048)
 #: Tokens that wait for a sequence, at most.
@@ -130,7 +130,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TI
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(full)
-        library = library_ids(vocabulary)
+        bpe = encoder(vocabulary)
         packer = Packer(TaskContext.get().partitionId() << 36, tiers, pool)
 
         def finished() -> pa.RecordBatch:
@@ -141,7 +141,8 @@ def pack_documents(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TI
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                for doc_id, ids in zip(part.column(0).to_pylist(), library.encode(part.column(1).to_pylist())):
+                found = bpe.encode_all([t.decode("utf-8", "replace") for t in part.column(1).to_pylist()])
+                for doc_id, ids in zip(part.column(0).to_pylist(), found):
                     packer.add(doc_id, ids + end)
                 if len(packer.rows) > 8192:
                     yield finished()

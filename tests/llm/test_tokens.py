@@ -2,15 +2,16 @@ import hashlib
 import random
 import struct
 import tracemalloc
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
-from hypothesis import example, given, settings
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from keyloom.llm import bpe, counting, library, packing, transducer
+from keyloom.llm import bpe, counting, packing, transducer
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 ODD = [" ", "  ", "\n", "\t", "a", "don't", "'LL", "é", "1", "½", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "日", "\U0001f642",
@@ -128,6 +129,15 @@ def test_tokens_that_fit_side_by_side(pair):
         assert own.machine.pairs.fit(i, j) == (library.encode(a + b, add_special_tokens=False).ids == [i, j])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*ODD, "'s", "'t'", "''", " '", "\n'", "re", "ve", "ll", "R", "x's'll", "1's", "!'s"]), max_size=20).map("".join))
+def test_pretokens_by_class_and_by_search(pair, text):
+    _, own = pair
+    folded = own.fold(text)
+    if folded:
+        assert own._by_class(folded).tolist() == own._by_search(folded).tolist()
+
+
 def test_decoder_replaces_ill_formed_bytes(vocabulary):
     library, own = Tokenizer.from_file(vocabulary(FILES[0])), bpe.encoder(vocabulary(FILES[0]))
     rnd = random.Random(4)
@@ -169,49 +179,14 @@ def test_token_counts_query(docs, no_docs, clashing, vocabulary):
     assert [tuple(r) for r in counting.token_counts(clashing, vocabulary(FILES[1])).collect()] == [(1, 16, 3, False)]
 
 
-@settings(max_examples=400, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(ODD), max_size=12).map("".join), max_size=6))
-@example(["İ_"])
-def test_library_ids_by_words(vocabulary, texts):
-    path = vocabulary(FILES[1])
-    tokenizer = Tokenizer.from_file(path)
-    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [ids(flat) for flat in library.library_ids(path).encode([t.encode() for t in texts])] == want
-
-
-def test_library_ids_of_every_letter_before_a_mark(vocabulary):
-    """Letters that fold to more than letters join the marks behind them."""
-    path = vocabulary(FILES[1])
-    tokenizer, own = Tokenizer.from_file(path), library.LibraryIds(path)
-    letters = [c for c in map(chr, range(0x110000)) if c.isalpha()]
-    words = [f"{c}_" for c in letters] + [f"a{c}." for c in letters[::7]] + [f"{c}\u0301!" for c in letters[::11]]
-    for at in range(0, len(words), 20_000):
-        part = words[at : at + 20_000]
-        want = [e.ids for e in tokenizer.encode_batch(part, add_special_tokens=False)]
-        got = own.encode([w.encode() for w in part])
-        assert [w for w, a, b in zip(part, got, want) if ids(a) != b] == []
-
-
-def test_library_pieces_that_are_no_single_run(vocabulary):
-    """Where the library parts a piece, its words are asked for as a whole."""
-    path = vocabulary(FILES[1])
-    tokenizer, own = Tokenizer.from_file(path), library.LibraryIds(path)
-    own._learn_pieces(["x.y", "fine"])
-    assert own.unfit == {"x.y"} and "fine" in own.pieces
-    own.unfit |= {"abc", "!!"}
-    text = "abc. abc fine!! fine. !!"
-    assert ids(own.encode([text.encode()])[0]) == tokenizer.encode(text, add_special_tokens=False).ids
-    assert not own.unfit & own.pieces.keys()
-
-
-def test_library_table_is_bounded(vocabulary, monkeypatch):
-    path = vocabulary(FILES[1])
-    monkeypatch.setattr(library, "TABLE_WORDS", 20)
-    own, tokenizer = library.LibraryIds(path), Tokenizer.from_file(path)
-    for i in range(10):
-        text = " ".join(["same", *("".join(random.Random(31 * i + k).choices("abcé.", k=9)) for k in range(30)), "x" * 300])
-        assert ids(own.encode([text.encode()])[0]) == tokenizer.encode(text, add_special_tokens=False).ids
-        assert len(own.words) <= 80 and not any(len(w) > library.TABLE_BYTES for w in [*own.words, *own.pieces])
+def test_every_letter_before_a_mark(pair):
+    """Letters that fold to more than letters, or compose, among them."""
+    tokenizer, own = pair
+    every = [c for c in map(chr, range(0x110000)) if c.isalpha()]
+    letters = [c for c in every if c.lower() != c or unicodedata.normalize("NFC", c) != c] + every[::40]
+    words = [f"{c}_" for c in letters] + [f"a{c}." for c in letters] + [f"{c}\u0301!" for c in letters]
+    want = [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert [w for w, a, b in zip(words, own.encode_all(words), want) if ids(a) != b] == []
 
 
 def check_packing(rows, texts, size=2048):
