@@ -31,6 +31,8 @@ _SHIFT, _START = 10, 0
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: A node with as many tokens below it, or fewer, has them listed; numbers of such lists start behind all tokens.
 FEW, _LISTS = 30, 1 << 24
+#: Pairs of tokens that are remembered.
+KNOWN = 200_000
 
 
 class Pairs:
@@ -48,6 +50,8 @@ class Pairs:
         key = left << 32 | right
         known = self.known.get(key)
         if known is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
             known = self.known[key] = left < 0 or self._fit(left, right)
         return known
 
@@ -109,8 +113,8 @@ class Transducer:
         """Forget all transitions, and all states but one; the number that it has now."""
         self.pairs.clear()
         old = self.lists if keep else []
-        self.lists: list[frozenset[int]] = []
-        self.list_number: dict[frozenset[int], int] = {}
+        self.lists: list[tuple[int, ...]] = []
+        self.list_number: dict[tuple[int, ...], int] = {}
         keep = tuple((node, self._listed(old[after - _LISTS]) if after >= _LISTS else after, count) for node, after, count in keep or ())
         self.moves: dict[int, int] = {}
         start = ((0, -1, 0),)
@@ -137,10 +141,10 @@ class Transducer:
         below = self.below[node]
         if len(below) > FEW and after < _LISTS:
             return after
-        left = frozenset(t for t in below if self._allows(after, t))
+        left = tuple([t for t in below if self._allows(after, t)])
         return self._listed(left) if left else -2
 
-    def _listed(self, tokens: frozenset[int]) -> int:
+    def _listed(self, tokens: tuple[int, ...]) -> int:
         number = self.list_number.get(tokens)
         if number is None:
             number = self.list_number[tokens] = _LISTS + len(self.lists)
