@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
-BATCH_BYTES, _BATCH_KEY, _BATCH_DEFAULT = "16m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+BATCH_BYTES, _BATCH_KEY, _BATCH_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
