@@ -11,7 +11,7 @@ The pipeline's stage has rules of its own: it links documents whose sets of five
 ``STAGE_SIMILARITY`` or more. Such prints differ in some ten of 64 bits, too many for blocks of one print, so its prints are wide:
 the first word is the SimHash of the set, the others are SimHashes of the same shingles under other hashes, and give ``KEYS`` blocks
 each. Documents that share a block and differ in ``STAGE_RADIUS`` or fewer bits of the first word are candidates, and a link is verified
-on the shingle sets themselves. A pair at 0.8 is missed with probability 0.002, one at 0.85 with 3e-5, by the angle between large sets.
+on the shingle sets themselves. A pair at 0.8 is missed with probability 0.001, one at 0.85 with 4e-5, by the angle between large sets.
 The first few blocks are linked before the others, and of these only buckets that hold more than one component are looked at, so a
 large group of copies crosses the network a few times and not once a block.
 
