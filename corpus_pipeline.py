@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, secrets, packing.
 
 Every stage takes (spark, docs, sf_dir) and all that its predecessor kept. All but the last return the columns of
-``documents``. ``run`` writes each stage's result to the shared folder and reads it back for the next one.
+``documents``, and all give few files. ``run`` writes each stage's result to the shared folder and reads it back for the next one.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm import packing, rules, secrets, simhash, substrings
 from keyloom.llm.queries import vocabulary
-from keyloom.session import materialize
+from keyloom.session import few_files, materialize
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def _stage(f):
             same = [i for i, n in enumerate(names) if n == known] or [i for i, n in enumerate(names) if n.lower() == known]
             if same:
                 plain[same[0]] = known
-        return f(spark, docs.toDF(*plain), sf_dir).toDF(*names)
+        return few_files(f(spark, docs.toDF(*plain), sf_dir).toDF(*names))
 
     return run_stage
 
@@ -94,7 +94,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are an end token alone. Repeated rows, and rows with a null id, are packed each by itself; long texts are
     cut at full windows. An empty table gives no pieces.
     """
-    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+    return few_files(packing.pack_documents(docs, vocabulary("word_bpe_49k.json")))
 
 
 STAGES = [

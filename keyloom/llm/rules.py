@@ -189,7 +189,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, level: flo
     Texts are counted twice, for the cutoffs (numbers alone are written) and for the verdict: that costs less than moving texts to
     their labels or rows to their verdicts. Only the text goes to Python, and only the verdict comes back.
     """
-    cutoffs = calibrate(materialize(document_counts(docs), "counts"), labels, risk, level)
+    cutoffs = calibrate(materialize(document_counts(docs), "counts", few=True), labels, risk, level)
     ship(docs.sparkSession)
 
     @F.arrow_udf("boolean")

@@ -236,7 +236,7 @@ def scan(text: Column) -> Column:
 def _scanned(docs: DataFrame) -> DataFrame:
     """``docs`` with columns base and candidates for the non-null string column ``text``, written to the shared folder."""
     found = docs.withColumn("found", scan(F.col("text")))
-    return materialize(found.select(*docs.columns, "found.base", "found.candidates"), "scanned")
+    return materialize(found.select(*docs.columns, "found.base", "found.candidates"), "scanned", few=True)
 
 
 def evidence_cutoffs(scanned: DataFrame, fdr: float = FDR) -> list[float]:

@@ -175,18 +175,18 @@ def close_edges(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, c
     return lists.mapInArrow(released(run), "u long, v long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, few: bool = False) -> DataFrame:
     """(u, root) for every node that is not the smallest of its component, by alternating large and small stars.
 
     A hub's neighbours are never gathered: minima are partial aggregates, joined back to edges that are salted by their
     other end, so a hub's edges spread over ``SALTS`` tasks. Each round's edges are written to the shared folder, so a
-    lost executor costs one round at most.
+    lost executor costs one round at most. ``few``: in few files.
     """
 
     def signature(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
 
-    now = materialize(edges, "edges")
+    now = materialize(edges, "edges", few)
     mark = signature(now)
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -197,7 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
         after = (
             small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v"))).distinct()
         )
-        before, now = now, materialize(after, "edges")
+        before, now = now, materialize(after, "edges", few)
         was, mark = mark, signature(now)
         discard(before)
         if mark == was:
@@ -383,26 +383,27 @@ def similar_edges(buckets: DataFrame, sets: DataFrame, similarity: float, cell:
 def _similar_roots(small: DataFrame, prints: DataFrame, shingle: int, similarity: float, cell: int) -> DataFrame:
     """(u, root) of the nodes (different shingle sets) that are linked to a smaller one."""
     known = [F.first("words").alias("words"), F.first("n").alias("n"), F.min("key").alias("key")]
-    distinct = materialize(prints.groupBy("node").agg(*known), "distinct")
-    close = materialize(close_members(distinct, similarity), "close")
+    distinct = materialize(prints.groupBy("node").agg(*known), "distinct", few=True)
+    close = materialize(close_members(distinct, similarity), "close", few=True)
     near = close.select("node").distinct()
-    wanted = distinct.select("node", "key").join(_merged(near), "node", "left_semi").select(F.col("key").alias("row"), "node")
-    chosen = small.join(_merged(wanted), small["doc_id.key"] == wanted["row"]).select(F.col("node").alias("doc_id"), "text")
+    wanted = distinct.select("node", "key").join(_merged(near), "node", "left_semi").select("key.a", "key.b", "node")
+    chosen = small.select("doc_id.key.a", "doc_id.key.b", "text").join(_merged(wanted), ["a", "b"])
+    # Rows that are equal in id and text have the same node: one of them is enough. The join has dealt them by what they share.
+    chosen = chosen.dropDuplicates(["a", "b"]).select(F.col("node").alias("doc_id"), "text")
 
     def members(batch: list[bytes]) -> list[list]:
         return [[shingle_set(t, shingle).view(np.int64) for t in batch]]
 
-    # Rows that are equal in id and text have the same node: one of them is enough.
-    sets = materialize(map_texts(chosen.dropDuplicates(["doc_id"]), "members array<long>", members).withColumnRenamed("doc_id", "node"), "sets")
+    sets = materialize(map_texts(chosen, "members array<long>", members).withColumnRenamed("doc_id", "node"), "sets", few=True)
     first = close.where(F.col("key") < FIRST_KEYS << KEY_BITS)
     full = first.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    edges = materialize(similar_edges(first.join(_merged(full), "key"), sets, similarity, cell), "links")
-    roots = materialize(components(edges), "roots")
+    edges = materialize(similar_edges(first.join(_merged(full), "key"), sets, similarity, cell), "links", few=True)
+    roots = materialize(components(edges, few=True), "roots", few=True)
     rest = close.where(F.col("key") >= FIRST_KEYS << KEY_BITS).join(_merged(roots), F.col("node") == F.col("u"), "left")
     rest = rest.select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key", "n")
     more = similar_edges(rest.select("key", "node").join(_merged(mixed), "key"), sets, similarity, cell)
-    return components(roots.select("u", F.col("root").alias("v")).union(more).distinct())
+    return components(roots.select("u", F.col("root").alias("v")).union(more).distinct(), few=True)
 
 
 def _row_key(docs: DataFrame) -> F.Column:
@@ -418,9 +419,11 @@ def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float =
     """
     import xxhash
 
-    key = next(f"key{i}" for i in range(len(docs.columns) + 1) if f"key{i}" not in docs.columns)
-    keyed = docs.withColumn(key, _row_key(docs))
-    small = keyed.select(F.struct(F.col("doc_id").alias("id"), F.col(key).alias("key")).alias("doc_id"), "text")
+    taken = {c.lower() for c in docs.columns}
+    a, b = [name for i in range(len(taken) + 2) if (name := f"key{i}") not in taken][:2]
+    key = _row_key(docs)
+    keyed = docs.withColumns({a: key["a"], b: key["b"]})
+    small = docs.select(F.struct(F.col("doc_id").alias("id"), key.alias("key")).alias("doc_id"), "text")
 
     def rows(batch: list[bytes]) -> list[list]:
         sets = [shingle_set(t, shingle) for t in batch]
@@ -428,13 +431,13 @@ def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float =
         return [nodes, [len(x) for x in sets], [wide_print(x) for x in sets]]
 
     made = map_texts(small, "node long, n long, words array<long>", rows)
-    prints = materialize(made.select("doc_id.id", "doc_id.key", "node", "n", "words"), "prints")
+    prints = materialize(made.select("doc_id.id", "doc_id.key", "node", "n", "words"), "prints", few=True)
     roots = _similar_roots(small, prints, shingle, similarity, cell)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     # Copies share a node: the first of each is found before nodes meet their roots.
     of_nodes = prints.groupBy("node").agg(first.alias("first"))
     firsts = of_nodes.join(_merged(roots), F.col("node") == F.col("u"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    kept = firsts.select(F.col("first.key.a").alias("_a"), F.col("first.key.b").alias("_b"))
-    found = keyed.join(_merged(kept), (F.col(f"{key}.a") == F.col("_a")) & (F.col(f"{key}.b") == F.col("_b")), "left_semi")
-    # What is left of equal rows is equal, so it does not matter which one stays.
-    return found.dropDuplicates([key]).drop(key)
+    kept = firsts.select(F.col("first.key.a").alias(a), F.col("first.key.b").alias(b))
+    found = keyed.join(_merged(kept), [a, b], "left_semi").select(*keyed.columns)
+    # What is left of equal rows is equal, so it does not matter which one stays. The join has dealt them by the same key: texts move once.
+    return found.dropDuplicates([a, b]).drop(a, b)

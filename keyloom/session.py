@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import os
 import shutil
 import tempfile
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 BATCH_BYTES, _BATCH_KEY, _BATCH_DEFAULT = "4m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+_CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Partitions that one task writes one after the other, where few files are wanted.
+_IN_TURN = 32
 
 
 def ship(spark: SparkSession) -> None:
@@ -61,11 +65,33 @@ def clear_work(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: cuts lineage, and survives lost executors."""
+def few_files(df: DataFrame) -> DataFrame:
+    """All rows of ``df`` in about as many partitions, and so files, as there are cores.
+
+    On a file system of the machine Hadoop starts three processes for each file that a task makes. While one starts, it shares
+    the executor's memory, and who adds up the processes of an executor counts that memory twice.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, math.ceil(parts / _IN_TURN)))
+
+
+def materialize(df: DataFrame, tag: str, few: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and read it back: cuts lineage, and survives lost executors.
+
+    ``few``: in few files, and the write's shuffle files go with it; else they stay until the driver collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if not few:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP_KEY, None)
+    spark.conf.set(_CLEANUP_KEY, "true")
+    try:
+        few_files(df).write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP_KEY) if before is None else spark.conf.set(_CLEANUP_KEY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

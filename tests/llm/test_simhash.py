@@ -1,10 +1,12 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from keyloom import session
 from keyloom.llm import simhash
 
 
@@ -213,3 +215,25 @@ def test_stage_candidates_against_brute_force(spark):
     shared = {(i, j) for k, some in buckets.items() for i in some if (k, i) in found for j in some if (k, j) in found}
     kin = [(i, j) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
     assert len(kin) > 500 and set(kin) <= shared
+
+
+def test_stage_makes_few_files(spark, docs):
+    """Each file costs an executor three processes on a local file system: as many as cores, not as partitions; nothing stays of a write's shuffles."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", session._CLEANUP_KEY)}
+    folder = Path(session.work_dir(spark).removeprefix("file://"))
+    known = set(folder.glob("*"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        kept = session.few_files(simhash.keep_one(docs))
+        assert kept.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        made = {p: len(list(p.glob("part-*"))) for p in set(folder.glob("*")) - known}
+        assert len(made) > 4 and max(made.values()) <= spark.sparkContext.defaultParallelism
+        assert spark.conf.get(session._CLEANUP_KEY, None) == before[session._CLEANUP_KEY]
+        # Whole rows move once: the join and the choice of one of equal rows share an exchange.
+        plan = kept._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin") >= 1 and kept._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0].count("Exchange") == 0
+        assert kept.count() == len(set(brute_components([brute_print(r["text"]) for r in docs.collect()])))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
